@@ -6,7 +6,7 @@ relies on an inferred schema.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,15 @@ from cultiva import values
 from cultiva.functions.scalars import empty_to_null, to_float
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it.
+
+    Spark re-evaluates an expression inside a lambda at every mention; a lambda
+    variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def path(*fields: str) -> str:
     """Variant path for field names that may contain blanks."""
     return "$" + "".join(f"['{field}']" for field in fields)
@@ -33,35 +42,40 @@ def text(doc: Column, *fields: str) -> Column:
 
 def only_text(doc: Column, *fields: str) -> Column:
     """Field as string, NULL unless the JSON value is itself a string."""
-    value = F.try_variant_get(doc, path(*fields), "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", text(doc, *fields))
+    return let(
+        F.try_variant_get(doc, path(*fields), "variant"),
+        lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
+    )
 
 
 def truthy(doc: Column, *fields: str) -> Column:
     """Field as string, NULL for empty strings, zero, false and empty containers."""
-    value = F.try_variant_get(doc, path(*fields), "variant")
-    kind = F.schema_of_variant(value)
-    as_text = text(doc, *fields)
-    falsy = (
-        (as_text == "")
-        | ((kind == "BOOLEAN") & (as_text == "false"))
-        | as_text.isin("[]", "{}")
-        | (~kind.isin("STRING", "BOOLEAN") & (as_text.try_cast("double") == 0))
-    )
-    return F.when(~F.coalesce(falsy, F.lit(False)), as_text)
+
+    def kept(value: Column) -> Column:
+        as_text = F.try_variant_get(value, "$", "string")
+        falsy = F.when(F.schema_of_variant(value) == "STRING", as_text == "").otherwise(
+            as_text.isin("false", "[]", "{}") | (as_text.try_cast("double") == 0)
+        )
+        return F.when(~F.coalesce(falsy, F.lit(False)), as_text)
+
+    return let(F.try_variant_get(doc, path(*fields), "variant"), kept)
 
 
 def as_list(value: Column) -> Column:
     """Scalar-or-list to list; missing and JSON ``null`` give an empty list."""
     empty = F.expr("cast(array() as array<variant>)")
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), empty)
-        .when(
-            F.schema_of_variant(value).startswith("ARRAY"),
-            F.try_variant_get(value, "$", "array<variant>"),
+
+    def coerced(v: Column) -> Column:
+        return (
+            F.when(v.isNull() | F.is_variant_null(v), empty)
+            .when(
+                F.schema_of_variant(v).startswith("ARRAY"),
+                F.try_variant_get(v, "$", "array<variant>"),
+            )
+            .otherwise(F.array(v))
         )
-        .otherwise(F.array(value))
-    )
+
+    return let(value, coerced)
 
 
 def list_at(doc: Column, *fields: str) -> Column:
@@ -69,16 +83,21 @@ def list_at(doc: Column, *fields: str) -> Column:
 
 
 def array_mean(numbers: Column) -> Column:
-    total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(numbers) > 0, total / F.size(numbers))
+    def mean(xs: Column) -> Column:
+        return F.when(
+            F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x) / F.size(xs)
+        )
+
+    return let(numbers, mean)
 
 
 def array_median(numbers: Column) -> Column:
-    ordered = F.array_sort(numbers)
-    n = F.size(ordered)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    def middle(xs: Column) -> Column:
+        n = F.size(xs)
+        low = F.get(xs, F.floor((n - 1) / 2).cast("int"))
+        return F.when(n > 0, (low + F.get(xs, F.floor(n / 2).cast("int"))) / 2)
+
+    return let(F.array_sort(numbers), middle)
 
 
 def _pick(entries: Column, keep: str) -> Column:
@@ -88,7 +107,10 @@ def _pick(entries: Column, keep: str) -> Column:
 
 
 def _mean_or_median(entries: Column) -> Column:
-    return F.coalesce(array_mean(_pick(entries, "optimum")), array_median(_pick(entries, "growth")))
+    return let(
+        entries,
+        lambda e: F.coalesce(array_mean(_pick(e, "optimum")), array_median(_pick(e, "growth"))),
+    )
 
 
 def _lowered(entry: Column, name: str) -> Column:
@@ -98,34 +120,46 @@ def _lowered(entry: Column, name: str) -> Column:
 def derive_optimum(entries: Column, key: str) -> Column:
     """Mean of the explicit optima, else median of the positive growth values."""
 
+    # Two passes: variant fields are read once, then only plain strings are parsed.
+    def read(entry: Column) -> Column:
+        return F.struct(
+            _lowered(entry, "type").alias("kind"),
+            _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH).alias("positive"),
+            text(entry, key).alias("text"),
+        )
+
     def parse(entry: Column) -> Column:
-        kind = _lowered(entry, "type")
-        optimum = kind.contains("optim")
-        positive = _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH)
+        optimum = entry["kind"].contains("optim")
         return F.struct(
-            to_float(text(entry, key)).alias("value"),
+            to_float(entry["text"]).alias("value"),
             optimum.alias("optimum"),
-            (~optimum & (kind == "growth") & positive).alias("growth"),
+            (~optimum & (entry["kind"] == "growth") & entry["positive"]).alias("growth"),
         )
 
-    return _mean_or_median(F.transform(entries, parse))
+    return _mean_or_median(F.transform(F.transform(entries, read), parse))
 
 
 def derive_salt(entries: Column) -> Column:
     """Salt optimum in percent: sodium chloride entries with positive growth only."""
 
+    def read(entry: Column) -> Column:
+        return F.struct(
+            F.coalesce(truthy(entry, "salt"), F.lit("NaCl")).alias("salt"),
+            _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH).alias("positive"),
+            _lowered(entry, "tested relation").alias("relation"),
+            F.coalesce(truthy(entry, "concentration"), truthy(entry, "salt concentration")).alias("text"),
+        )
+
     def parse(entry: Column) -> Column:
-        salt = F.coalesce(truthy(entry, "salt"), F.lit("NaCl"))
-        positive = _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH) & (salt == "NaCl")
-        optimum = _lowered(entry, "tested relation").contains("optim")
-        amount = F.coalesce(truthy(entry, "concentration"), truthy(entry, "salt concentration"))
+        counts = entry["positive"] & (entry["salt"] == "NaCl")
+        optimum = entry["relation"].contains("optim")
         return F.struct(
-            to_float(amount).alias("value"),
-            (positive & optimum).alias("optimum"),
-            (positive & ~optimum).alias("growth"),
+            to_float(entry["text"]).alias("value"),
+            (counts & optimum).alias("optimum"),
+            (counts & ~optimum).alias("growth"),
         )
 
-    return _mean_or_median(F.transform(entries, parse))
+    return _mean_or_median(F.transform(F.transform(entries, read), parse))
 
 
 def _first_present(candidates: Column) -> Column:
@@ -156,10 +190,8 @@ def first_tax_id(entries: Column, key: str = "NCBI tax id") -> Column:
 
 def isolation_categories(entries: Column, level: str) -> Column:
     """Distinct sorted tags of one level joined by ``|``; leading ``#`` removed."""
-    tags = F.transform(entries, lambda e: F.trim(F.regexp_replace(only_text(e, level), "^#+", "")))
-    raw = F.transform(entries, lambda e: empty_to_null(only_text(e, level)))
-    present = F.filter(
-        F.zip_with(tags, raw, lambda tag, source: F.when(source.isNotNull(), tag)),
-        lambda tag: tag.isNotNull(),
+    raw = F.filter(
+        F.transform(entries, lambda e: only_text(e, level)), lambda tag: F.length(tag) > 0
     )
-    return empty_to_null(F.array_join(F.array_sort(F.array_distinct(present)), "|"))
+    tags = F.transform(raw, lambda tag: F.trim(F.regexp_replace(tag, "^#+", "")))
+    return empty_to_null(F.array_join(F.array_sort(F.array_distinct(tags)), "|"))

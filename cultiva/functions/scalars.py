@@ -38,7 +38,7 @@ def to_float(text: Column) -> Column:
     trimmed = F.trim(text)
     parts = F.split(trimmed, "-")
     midpoint = (strict_double(parts[0]) + strict_double(parts[1])) / 2
-    first_token = F.split(trimmed, r"\s+")[0]
+    first_token = F.regexp_extract(trimmed, r"^\S+", 0)
     return F.when(
         trimmed.contains("-") & ~trimmed.startswith("-"), midpoint
     ).otherwise(strict_double(first_token))

@@ -105,7 +105,6 @@ def parse_isolation(docs: DataFrame, doc: str = "doc", key: str = "bacdive_id")
         key, F.get(D.list_at(F.col(doc), ISOLATION, "isolation"), F.lit(0)).alias("_iso")
     )
     i = F.col("_iso")
-    host, sample = D.only_text(i, "host species"), D.only_text(i, "sample type")
     return first.select(
         key,
         D.only_text(i, "country").alias("iso_country"),
@@ -116,9 +115,12 @@ def parse_isolation(docs: DataFrame, doc: str = "doc", key: str = "bacdive_id")
             parse_year(D.only_text(i, "sampling date")),
             parse_year(D.only_text(i, "isolation date")),
         ).alias("iso_collection_year"),
-        host.alias("iso_host_species"),
-        F.coalesce(host_kingdom(host), host_kingdom(sample)).alias("iso_host_kingdom"),
-        sample.alias("iso_sample_text"),
+        D.only_text(i, "host species").alias("iso_host_species"),
+        F.coalesce(
+            D.let(D.only_text(i, "host species"), host_kingdom),
+            D.let(D.only_text(i, "sample type"), host_kingdom),
+        ).alias("iso_host_kingdom"),
+        D.only_text(i, "sample type").alias("iso_sample_text"),
         D.only_text(i, "geographic location").alias("iso_geographic_location"),
     )
 
