@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cultiva import values
+from cultiva.operators.ordered import row_index
 
 
 def _columns(order_by: Sequence[str | Column]) -> list[Column]:
@@ -193,6 +194,17 @@ def page(df: DataFrame, order_by: Sequence[str | Column], limit: int | None = No
     return ordered if limit is None else ordered.limit(limit)
 
 
+# Up to this many rows are gathered in one heap; larger samples stay distributed.
+MAX_HEAP_ROWS = 100_000
+
+
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same on every run and partitioning."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """``n`` rows without replacement, the same on every run and partitioning.
+
+    ``key`` must be unique; a sample at least as large as the table is the table.
+    """
+    order = F.xxhash64(*key, F.lit(seed))
+    if n <= MAX_HEAP_ROWS:
+        return df.orderBy(order, *key).limit(n)
+    numbered = row_index(df.withColumn("_hash", order), ["_hash", *key], into="_row")
+    return numbered.filter(F.col("_row") < n).drop("_row", "_hash")

@@ -1,13 +1,16 @@
-"""Featurize newly arrived genomes exactly once and resume after a crash."""
+"""Process newly arrived genomes exactly once and resume after a crash."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from cultiva.operators.joins import pending
 from cultiva.sources.sequences import GENOME_FILE, parse_fasta_records
 from cultiva.sources.tables import append_new
 
@@ -24,26 +27,28 @@ def stream_fasta(spark: SparkSession, path: str, files_per_batch: int | None = N
     return parse_fasta_records(records)
 
 
-def incremental_featurize(
-    stream: DataFrame,
-    featurize: Callable[[DataFrame], DataFrame],
-    key: Sequence[str],
-    out_path: str,
-    checkpoint: str,
-) -> StreamingQuery:
-    """Run ``featurize`` on every micro-batch and append keys not stored yet.
+def stream_table(
+    spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet"
+) -> DataFrame:
+    """Rows of parquet files as they arrive."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
-    The file source hands every file to one batch, and the anti join makes a
-    replayed batch append nothing twice. ``checkpoint`` must be on storage all
-    executors share.
-    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(featurize(batch), key, out_path)
+def incremental_sink(
+    stream: DataFrame, key: Sequence[str], out_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Append the first row of every key to ``out_path`` until the input is used up.
 
+    The checkpoint records which files are done, the file sink commits every
+    batch once, and the key state drops rows seen in an earlier batch or run.
+    ``checkpoint`` must be on storage all executors share.
+    """
     return (
-        stream.writeStream.foreachBatch(write)
+        stream.dropDuplicates(list(key))
+        .writeStream.format("parquet")
+        .option("path", out_path)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -54,6 +59,29 @@ def deduplicated(stream: DataFrame, key: Sequence[str], time: str, late_by: str)
     return stream.withWatermark(time, late_by).dropDuplicatesWithinWatermark(list(key))
 
 
+def resume_featurize(
+    inputs: DataFrame,
+    featurize: Callable[[DataFrame], DataFrame],
+    key: Sequence[str],
+    out_path: str,
+) -> None:
+    """Featurize the inputs whose key has no stored row yet and append the result.
+
+    Done keys are removed before the expensive step. Running again, also after a
+    failure halfway, adds nothing twice.
+    """
+    spark = inputs.sparkSession
+    try:
+        done = spark.read.parquet(out_path).select(*key).distinct()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        todo = inputs
+    else:
+        todo = pending(inputs, done, key)
+    append_new(featurize(todo), key, out_path)
+
+
 def with_progress(df: DataFrame, name: str, success: str) -> DataFrame:
     """Count completed and successful rows while a job runs.
 
@@ -68,8 +96,10 @@ def with_progress(df: DataFrame, name: str, success: str) -> DataFrame:
 
 def progress(tasks: DataFrame, results: DataFrame, key: Sequence[str], success: str) -> DataFrame:
     """Completed, successful and pending tasks of a resumable job."""
-    state = results.select(*key, F.coalesce(F.col(success), F.lit(False)).alias("_ok")).groupBy(*key).agg(
-        F.bool_or("_ok").alias("_ok")
+    state = (
+        results.select(*key, F.coalesce(F.col(success), F.lit(False)).alias("_ok"))
+        .groupBy(*key)
+        .agg(F.bool_or("_ok").alias("_ok"))
     )
     return (
         tasks.select(*key)
