@@ -189,19 +189,25 @@ def marker_pivot(
 ) -> DataFrame:
     """``hmm_<marker>_{n,score,present}`` per genome, zeros where nothing was hit."""
 
-    def cell(marker: str, column: str) -> Column:
-        found = F.max(F.when(F.col("marker") == marker, F.col(column)))
-        return F.coalesce(found.cast("double"), F.lit(0.0))
-
-    cells = []
-    for marker in markers:
-        cells += [
-            cell(marker, "n_hits").alias(f"hmm_{marker}_n"),
-            cell(marker, "top_score").alias(f"hmm_{marker}_score"),
-            (cell(marker, "n_hits") > 0).cast("double").alias(f"hmm_{marker}_present"),
-        ]
-    grid = genomes.select("genome_accession").distinct().join(summary, "genome_accession", "left")
-    return grid.groupBy("genome_accession").agg(*cells)
+    found = summary.select(
+        "genome_accession", "marker", "n_hits", F.col("top_score").cast("double").alias("top_score")
+    )
+    grid = genomes.select("genome_accession").distinct().join(found, "genome_accession", "left")
+    wide = (
+        grid.groupBy("genome_accession")
+        .pivot("marker", list(markers))
+        .agg(F.first("n_hits").alias("n"), F.first("top_score").alias("score"))
+    )
+    cells = [
+        cell
+        for m in markers
+        for cell in (
+            f"coalesce(cast(`{m}_n` as double), 0D) as `hmm_{m}_n`",
+            f"coalesce(`{m}_score`, 0D) as `hmm_{m}_score`",
+            f"if(`{m}_n` > 0, 1D, 0D) as `hmm_{m}_present`",
+        )
+    ]
+    return wide.selectExpr("genome_accession", *cells)
 
 
 def _sum_present(df: DataFrame, names: Sequence[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cultiva import values
 from cultiva.functions.scalars import slugify
 from cultiva.operators.aggregates import tag_counts, top_values
+from cultiva.session import materialize
 
 MAX_CATEGORIES = 100_000
 
@@ -86,16 +87,22 @@ def label_table(
     Strains have features and any link. Positives are distinct ``(strain,
     medium)`` pairs with growth, for media with at least ``minimum`` such links.
     Pairs without a row are negatives, so no strains-by-media grid is built.
+
+    The links are read once: they are counted per pair, which also evens out
+    strains with very many links, and that table is kept for the three results.
     """
-    strains = features.select(key).intersect(links.select(key))
-    grown = links.filter(F.lower("growth") == "yes").join(strains, key, "left_semi")
+    pairs = materialize(
+        links.groupBy(key, "medium_id")
+        .agg(F.count_if(F.lower("growth") == "yes").alias("n_yes"))
+        .join(features.select(key).distinct(), key, "left_semi")
+    )
     media = (
-        grown.groupBy("medium_id")
-        .agg(F.count(F.lit(1)).alias("n_strains"))
-        .filter(F.col("n_strains") >= minimum)
+        pairs.groupBy("medium_id")
+        .agg(F.sum("n_yes").alias("n_strains"))
+        .filter((F.col("n_strains") >= minimum) & (F.col("n_strains") > 0))
     )
-    positives = grown.join(media, "medium_id", "left_semi").select(key, "medium_id").distinct()
-    return strains, positives, media
+    grown = pairs.filter(F.col("n_yes") > 0).select(key, "medium_id")
+    return pairs.select(key).distinct(), grown.join(media, "medium_id", "left_semi").select(key, "medium_id"), media
 
 
 def label_matrix(

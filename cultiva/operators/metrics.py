@@ -414,28 +414,21 @@ def spearman(
     labelled = df.filter(F.col(target).isNotNull()).select(
         F.col(target).cast("double").alias("y"), *features
     )
-    pairs = unpivot(labelled, features, ["y"]).groupBy("feature", "x", "y").agg(
-        F.count(F.lit(1)).alias("w")
-    )
-    weighted = pairs.select("feature", "x", "y", F.col("w"))
+    pairs = unpivot(labelled, features, ["y"])
 
     def ranks(value: str, into: str) -> DataFrame:
-        counts = weighted.groupBy("feature", value).agg(F.sum("w").alias("n"))
-        ranked = prefix_sums(counts, ["feature"], [value], ["n"])
-        return ranked.select(
-            "feature", value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(into)
-        )
+        return fractional_ranks(pairs, ["feature"], value, into).drop("n")
 
-    both = weighted.join(ranks("x", "rx"), ["feature", "x"]).join(ranks("y", "ry"), ["feature", "y"])
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    # Ranks average (n + 1) / 2, so centred sums need no second pass over the data.
+    both = pairs.join(ranks("x", "rx"), ["feature", "x"]).join(ranks("y", "ry"), ["feature", "y"])
+    rx, ry = F.col("rx"), F.col("ry")
+    # Ranks average (n + 1) / 2, so plain sums are enough and one pass does it.
     sums = both.groupBy("feature").agg(
-        F.sum("w").alias("n"),
-        F.sum(w * rx).alias("sx"),
-        F.sum(w * ry).alias("sy"),
-        F.sum(w * rx * rx).alias("sxx"),
-        F.sum(w * ry * ry).alias("syy"),
-        F.sum(w * rx * ry).alias("sxy"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(rx).alias("sx"),
+        F.sum(ry).alias("sy"),
+        F.sum(rx * rx).alias("sxx"),
+        F.sum(ry * ry).alias("syy"),
+        F.sum(rx * ry).alias("sxy"),
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx = F.col("sxx") - sx * sx / n

@@ -66,14 +66,14 @@ def _levelled(modules: DataFrame, module: str) -> DataFrame:
     order = W.partitionBy(module).orderBy("_pos")
     change = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
     depth = tokens.withColumn("_after", F.sum(change).over(order))
-    lowest = F.min("_after").over(order)
-    return depth.withColumn("_lowest", lowest).filter(F.col("_lowest") >= 0)
+    kept = depth.withColumn("_lowest", F.min("_after").over(order)).filter(F.col("_lowest") >= 0)
+    # depth after the last token: brackets that were never closed
+    return kept.withColumn("_open", F.sum(change).over(W.partitionBy(module)))
 
 
 def rejected_rules(modules: DataFrame, module: str = "id") -> DataFrame:
     """Modules whose rule leaves a bracket open; they get no nodes."""
-    ends = _levelled(modules, module).groupBy(module).agg(F.max_by("_after", "_pos").alias("open"))
-    return ends.filter(F.col("open") > 0).select(module)
+    return _levelled(modules, module).filter(F.col("_open") > 0).select(module).distinct()
 
 
 def rule_nodes(modules: DataFrame, module: str = "id") -> DataFrame:
@@ -83,7 +83,7 @@ def rule_nodes(modules: DataFrame, module: str = "id") -> DataFrame:
     enclosing ``and`` node), chain (alternatives share one), n_children (chains
     of an ``and`` node). The root of a rule is node 0 with no parent.
     """
-    tokens = _levelled(modules, module).join(rejected_rules(modules, module), module, "left_anti")
+    tokens = _levelled(modules, module).filter(F.col("_open") == 0)
     order = W.partitionBy(module).orderBy("_pos")
     level = F.when(F.col("token") == "(", F.col("_after") - 1).otherwise(F.col("_after"))
     member = F.col("token").isin("(", EMPTY) | F.col("token").startswith("K")
@@ -93,21 +93,23 @@ def rule_nodes(modules: DataFrame, module: str = "id") -> DataFrame:
         .select(module, "_pos", "token", "_previous", "depth")
     )
     # An opening bracket is a member of its own depth and the parent one deeper.
-    openers = placed.filter(F.col("token") == "(").select(
-        module, (F.col("depth") + 1).alias("depth"), "_pos", F.col("_pos").alias("_opener")
+    as_member = F.struct("depth", "token", F.lit(None).cast("int").alias("_opener"))
+    as_parent = F.struct(
+        (F.col("depth") + 1).alias("depth"),
+        F.lit(None).cast("string").alias("token"),
+        F.col("_pos").alias("_opener"),
     )
+    roles = F.when(F.col("token") == "(", F.array(as_member, as_parent)).otherwise(F.array(as_member))
     inside = W.partitionBy(module, "depth").orderBy("_pos")
+    opener = F.coalesce(F.last("_opener", ignorenulls=True).over(inside), F.lit(ROOT))
     with_parent = (
-        placed.unionByName(openers, allowMissingColumns=True)
-        .withColumn(
-            "parent",
-            F.coalesce(F.last("_opener", ignorenulls=True).over(inside), F.lit(ROOT)),
-        )
+        placed.select(module, "_pos", "_previous", F.inline(roles))
+        .withColumn("parent", opener)
         .filter(F.col("token").isNotNull())
     )
     siblings = W.partitionBy(module, "parent").orderBy("_pos")
     starts = F.when(F.coalesce(F.col("_previous"), F.lit("")) == ",", 0).otherwise(1)
-    members = with_parent.withColumn("chain", F.sum(starts).over(siblings))
+    members = materialize(with_parent.withColumn("chain", F.sum(starts).over(siblings)))
     sizes = members.groupBy(module, F.col("parent").alias("node")).agg(
         F.max("chain").alias("n_children")
     )
@@ -119,17 +121,15 @@ def rule_nodes(modules: DataFrame, module: str = "id") -> DataFrame:
         "depth",
         "parent",
         "chain",
-    )
-    roots = members.select(module).distinct().select(
+    ).join(sizes, [module, "node"], "left")
+    roots = sizes.filter(F.col("node") == ROOT).select(
         module,
-        F.lit(ROOT).alias("node"),
+        "node",
         F.lit("and").alias("kind"),
-        F.lit(None).cast("string").alias("ko"),
-        F.lit(-1).alias("depth"),
-        F.lit(None).cast("int").alias("parent"),
-        F.lit(None).cast("bigint").alias("chain"),
+        F.lit(-1).cast("bigint").alias("depth"),
+        "n_children",
     )
-    nodes = below.unionByName(roots).join(sizes, [module, "node"], "left")
+    nodes = below.unionByName(roots, allowMissingColumns=True)
     return nodes.withColumnRenamed(module, "module").select(
         "module", "node", "kind", "ko", "depth", "parent", "chain",
         F.when(F.col("kind") == "and", F.coalesce("n_children", F.lit(0))).alias("n_children"),
@@ -146,8 +146,8 @@ def module_completeness(
     """``(genome, module, completeness)`` of modules that score above zero.
 
     ``fractional`` gives a step chain the mean of its steps, otherwise the
-    minimum. Hits are partitioned by genome and module once; every aggregate
-    after that keeps this partitioning.
+    minimum. Hits are partitioned by genome and module once; no aggregate
+    after that moves rows again.
     """
     nodes = materialize(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0]
@@ -164,7 +164,9 @@ def module_completeness(
         F.col("chain").alias("_chain"),
     )
     brackets = broadcast_if_small(brackets, MAX_BROADCAST_NODES)
-    met = (
+    # Read once per depth below, so the leaf hits are written out instead of
+    # being found again; they keep their partitioning.
+    met = materialize(
         hits.select(F.col(genome).alias("_genome"), F.col(hit).alias("ko"))
         .distinct()
         .join(leaves, "ko")

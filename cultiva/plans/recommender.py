@@ -10,10 +10,33 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cultiva import values
 from cultiva.operators import metrics as M
-from cultiva.operators.encode import label_matrix
+from cultiva.operators.encode import label_matrix, label_table
+from cultiva.operators.folds import group_folds
 from cultiva.operators.ranking import top_media_from_scores
 from cultiva.plans.phenotype import Trees
+from cultiva.plans.training_table import with_group
+from cultiva.session import materialize
+
+def prepare(
+    strains: DataFrame,
+    links: DataFrame,
+    minimum: int = values.MIN_STRAINS_PER_MEDIUM,
+    k: int = 5,
+    group_mode: str = "whole_species",
+    key: str = "bacdive_id",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(folded strains, positives, media)`` of a leakage-free benchmark.
+
+    ``strains``: key, family, genus, species and anything to carry along. The
+    compact results are materialized, so that every metric starts from them
+    instead of from the links.
+    """
+    kept, positives, media = label_table(strains, links, minimum, key)
+    grouped = materialize(with_group(strains.join(kept, key, "left_semi"), group_mode))
+    return materialize(group_folds(grouped, "group", k)), materialize(positives), media
+
 
 FOLD_METRICS = (
     "medium_id string, fold int, n_train bigint, n_test bigint, n_test_positives bigint, "

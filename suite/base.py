@@ -36,6 +36,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work when the file is a single split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *df.columns[:2])
+
+
+def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(*columns)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, as the oracles do."""
     return df.select(
@@ -99,7 +111,7 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as strain-medium links; large quantities mean growth."""
     quantity = F.col("l_quantity")
     return (
-        table(spark, folder, "lineitem")
+        lines(spark, folder, "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
         .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
@@ -147,7 +159,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as contigs of the genome named by their source."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("contig_id"),
         F.translate("text", "acgt", "ACGT").alias("seq"),
@@ -155,7 +167,7 @@ def contigs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("protein_idx"),
         F.translate("text", LOWER, UPPER).alias("aa"),
@@ -182,7 +194,8 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as profile hits of the supplier's genome."""
     names = [p for p, _, _ in values.marker_rows()]
     profile: Column = F.get(F.array(*[F.lit(p) for p in names]), (F.col("l_partkey") % 50).cast("int"))
-    return table(spark, folder, "lineitem").select(
+    needed = ("l_suppkey", "l_partkey", "l_orderkey", "l_quantity", "l_discount")
+    return lines(spark, folder, *needed).select(
         F.concat(F.lit("GCA_"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias(
             "genome_accession"
         ),

@@ -11,7 +11,7 @@ from cultiva.operators.encode import labels_with_mask
 from cultiva.operators.filters import require_labels
 from cultiva.operators.ordered import fractional_ranks, grouped_quantiles
 from cultiva.plans import report
-from suite.base import query, r, rounded, table, with_sql
+from suite.base import lines, query, r, rounded, table, with_sql
 from suite.encoders import IMPORTANCE_SQL, importances
 from suite.strains import PHENOTYPES, phenotypes
 
@@ -24,8 +24,9 @@ predictions AS (
 
 
 def predictions(spark, folder):
+    needed = ("l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber")
     return (
-        table(spark, folder, "lineitem")
+        lines(spark, folder, *needed)
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
@@ -272,12 +273,12 @@ RANKED_SQL = ", ".join(
     + ") GROUP BY feature",
 )
 def spearman(spark, folder):
-    lines = table(spark, folder, "lineitem").select(
+    source = lines(spark, folder, *NUMBERS, "l_linenumber", "l_extendedprice").select(
         "l_quantity", "l_discount", "l_partkey",
         F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"),
         F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("l_extendedprice"),
     )
-    return rounded(M.spearman(lines, NUMBERS, "l_extendedprice").drop("p_value"), 5)
+    return rounded(M.spearman(source, NUMBERS, "l_extendedprice").drop("p_value"), 5)
 
 
 @query(
@@ -290,7 +291,7 @@ best AS (SELECT * FROM scored ORDER BY score DESC, feature LIMIT 3)
 SELECT feature, {r('score', 9)} AS score, class, {r('mean', 5)} AS mean FROM best JOIN means USING (feature)""",
 )
 def class_separation(spark, folder):
-    found = M.class_separation(table(spark, folder, "lineitem"), NUMBERS, "l_returnflag", top_n=3)
+    found = M.class_separation(lines(spark, folder, *NUMBERS, "l_returnflag"), NUMBERS, "l_returnflag", top_n=3)
     return found.select("feature", F.round("score", 9).alias("score"), "class", F.round("mean", 5).alias("mean"))
 
 

@@ -8,10 +8,10 @@ from cultiva.operators import aggregates as A
 from cultiva.operators import metrics as M
 from cultiva.operators import ranking as W
 from cultiva.operators.encode import class_weights, label_matrix, label_table
-from cultiva.operators.folds import group_folds, random_fold
+from cultiva.operators.folds import random_fold
 from cultiva.operators.joins import attach_media, with_medium_name
 from cultiva.plans import recommender as P
-from cultiva.plans.training_table import with_group
+from cultiva.session import materialize
 from suite.base import (
     LINKS_SQL, MEDIA_SQL, STRAINS_SQL, links, media_names, query, r, rounded, strains, table, with_sql,
 )
@@ -60,10 +60,7 @@ popularity AS (
 
 def labelled(spark, folder):
     """Folded strains, their positives and the media of the benchmark."""
-    everyone = strains(spark, folder)
-    kept, positives, media = label_table(everyone, links(spark, folder), MIN_LINKS)
-    folded = group_folds(with_group(everyone.join(kept, "bacdive_id", "left_semi")), "group", 5)
-    return folded, positives, media
+    return P.prepare(strains(spark, folder), links(spark, folder), MIN_LINKS, 5, "first_word")
 
 
 def topk_sql(source: str, ks=(1, 3, 5)) -> str:
@@ -126,10 +123,11 @@ taxon_scores AS (
 
 
 def random_folds(spark, folder):
-    folded, positives, media = labelled(spark, folder)
+    kept, positives, media = label_table(strains(spark, folder), links(spark, folder), MIN_LINKS)
+    folded = strains(spark, folder).join(kept, "bacdive_id", "left_semi")
     # genus and family only help when a taxon is spread over folds
-    spread = folded.withColumn("fold", (F.col("bacdive_id") % 5).cast("int"))
-    return spread, positives, [x[0] for x in media.select("medium_id").orderBy("medium_id").collect()]
+    spread = materialize(folded.withColumn("fold", (F.col("bacdive_id") % 5).cast("int")))
+    return spread, materialize(positives), [x[0] for x in media.select("medium_id").orderBy("medium_id").collect()]
 
 
 SPREAD = (

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cultiva.operators.encode import label_table
-from cultiva.operators.folds import group_folds
 from cultiva.operators.metrics import ab_lift
 from cultiva.plans import phenotype as H
 from cultiva.plans import recommender as P
 from cultiva.plans.serving import describe_genomes, recommend_media
 from cultiva.plans.training_table import assemble, build_training_table, with_group
 from cultiva.session import shared_scratch
-from suite.base import links, query, rounded, strains, table
+from suite.base import lines, links, query, rounded, strains, table
 from suite.media import media_names, recipes
 from suite.strains import merged_labels, phenotypes
 
@@ -27,8 +25,8 @@ def features(spark, folder):
         F.max("o_totalprice").alias("top_price"),
         F.avg("o_totalprice").alias("mean_price"),
     )
-    lines = (
-        table(spark, folder, "lineitem")
+    per_line = (
+        lines(spark, folder, "l_orderkey", "l_quantity", "l_discount")
         .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("bacdive_id"))
         .agg(
@@ -37,7 +35,7 @@ def features(spark, folder):
             F.avg("l_discount").alias("mean_discount"),
         )
     )
-    return orders.join(lines, "bacdive_id", "left")
+    return orders.join(per_line, "bacdive_id", "left")
 
 
 def training(spark, folder):
@@ -126,8 +124,7 @@ def type_links(spark, folder):
 
 def recommender(spark, folder):
     vectors = assemble(features(spark, folder), FEATURES, ["bacdive_id"])
-    kept, positives, media = label_table(strains(spark, folder), type_links(spark, folder), 10)
-    folded = group_folds(with_group(strains(spark, folder).join(kept, "bacdive_id", "left_semi")), "group", 3)
+    folded, positives, media = P.prepare(strains(spark, folder), type_links(spark, folder), 10, 3)
     names = [row[0] for row in media.select("medium_id").orderBy("medium_id").collect()]
     return P.benchmark_table(folded, positives, vectors, names), names
 

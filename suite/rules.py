@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cultiva.operators import rules as R
 from cultiva.operators.aggregates import module_prevalence
 from cultiva.sources.annotations import parse_modules
-from suite.base import query, r, rounded, table, with_sql
+from suite.base import lines, query, r, rounded, table, with_sql
 
 # Every nation has a rule over five profiles a..e derived from its key; the shape
 # depends on the key as well.
@@ -64,7 +64,7 @@ def modules(spark, folder):
 
 def profile_hits(spark, folder):
     return (
-        table(spark, folder, "lineitem")
+        lines(spark, folder, "l_orderkey", "l_partkey", "l_quantity")
         .filter("l_quantity > 30")
         .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
