@@ -146,7 +146,7 @@ def module_completeness(
     """``(genome, module, completeness)`` of modules that score above zero.
 
     ``fractional`` gives a step chain the mean of its steps, otherwise the
-    minimum. Hits are partitioned by genome and module once; no aggregate
+    minimum. Met leaves are partitioned by genome and module once; no aggregate
     after that moves rows again.
     """
     nodes = materialize(nodes)
@@ -164,12 +164,13 @@ def module_completeness(
         F.col("chain").alias("_chain"),
     )
     brackets = broadcast_if_small(brackets, MAX_BROADCAST_NODES)
-    # Read once per depth below, so the leaf hits are written out instead of
-    # being found again; they keep their partitioning.
-    met = materialize(
-        hits.select(F.col(genome).alias("_genome"), F.col(hit).alias("ko"))
-        .distinct()
-        .join(leaves, "ko")
+    # The distinct hits are the only large input and every depth reads them, so
+    # they are written out once; each leaf belongs to one depth.
+    held = materialize(
+        hits.select(F.col(genome).alias("_genome"), F.col(hit).alias("ko")).distinct()
+    )
+    met = (
+        held.join(leaves, "ko")
         .select("_genome", "module", "depth", "parent", "chain", F.lit(1.0).alias("score"))
         .repartition("_genome", "module")
     )
