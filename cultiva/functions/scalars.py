@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cultiva import values
@@ -49,6 +49,14 @@ def finite(number: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """Whether a column holds a value: neither NULL nor NaN."""
+    value = F.col(column)
+    if dict(df.dtypes)[column] in ("double", "float"):
+        return value.isNotNull() & ~F.isnan(value)
+    return value.isNotNull()
+
+
 def medium_id_from_link(link: Column) -> Column:
     return empty_to_null(F.regexp_extract(link, r"/medium/([A-Za-z0-9]+)", 1))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cultiva import values
-from cultiva.functions.scalars import strict_double
+from cultiva.functions.scalars import present, strict_double
 from cultiva.operators.ordered import grouped_quantiles
 from cultiva.operators.ranking import page
 
@@ -125,7 +125,7 @@ def tag_counts(df: DataFrame, column: str) -> DataFrame:
 
 def describe_target(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, p10, median, p90 and the two extreme counts."""
-    known = df.filter(F.col(column).isNotNull())
+    known = df.filter(present(df, column))
     moments = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(column).alias("mean"),

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cultiva import values
+from cultiva.functions.scalars import present
 from cultiva.operators.ordered import fractional_ranks, prefix_sums
 from cultiva.operators.ranking import page
 
@@ -191,7 +192,7 @@ def mean_absolute_error(predicted: Column, observed: Column) -> Column:
 
 def constant_mean_mae(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Error of always predicting the mean."""
-    known = df.filter(F.col(target).isNotNull())
+    known = df.filter(present(df, target))
     if not keys:
         centred = known.withColumn("_mean", known.agg(F.avg(target)).scalar())
     else:
@@ -411,7 +412,7 @@ def spearman(
     """
     if target not in df.columns:
         return df.sparkSession.createDataFrame([], "feature string, n bigint, spearman_rho double, p_value double")
-    labelled = df.filter(F.col(target).isNotNull()).select(
+    labelled = df.filter(present(df, target)).select(
         F.col(target).cast("double").alias("y"), *features
     )
     pairs = unpivot(labelled, features, ["y"])

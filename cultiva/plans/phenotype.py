@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cultiva import values
+from cultiva.functions.scalars import present
 from cultiva.functions.vectors import class_name
 from cultiva.operators.encode import class_index, encode_labels
 from cultiva.operators.folds import group_folds
@@ -120,7 +121,7 @@ def cross_validate(
     class a fold has not seen are left out.
     """
     result = Results()
-    labelled = df.filter(F.col(target).isNotNull()).withColumns(
+    labelled = df.filter(present(df, target)).withColumns(
         {
             "_train": F.lit(True) if train_on is None else F.coalesce(train_on, F.lit(False)),
             "_test": F.lit(True) if test_on is None else F.coalesce(test_on, F.lit(False)),
@@ -235,7 +236,7 @@ def fit_heads(
     for target, task in targets.items():
         if target not in df.columns:
             continue
-        labelled = df.filter(F.col(target).isNotNull())
+        labelled = df.filter(present(df, target))
         if labelled.limit(minimum).count() < minimum:
             continue
         table = assemble(labelled, features, [row_id, target]).persist()
