@@ -26,6 +26,7 @@ from cultiva.operators.folds import group_folds
 from cultiva.operators.metrics import macro_f1, mean_absolute_error, weak_label_verdict
 from cultiva.operators.ordered import grouped_quantiles
 from cultiva.plans.training_table import assemble
+from cultiva.session import materialize
 
 METRIC = {"regression": "mae", "classification": "f1_macro"}
 PREDICTIONS = "target string, task string, fold int, row_id string, predicted string, observed string"
@@ -130,67 +131,66 @@ def cross_validate(
     )
     with_fold = group_folds(labelled, group, k)
     keep = [row_id, target, "fold", "_train", "_test"]
-    table = assemble(with_fold, features, keep).persist()
-    try:
-        sizes = {
-            r["fold"]: r
-            for r in table.groupBy("fold")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count_if("_train").alias("train"),
-                F.count_if("_test").alias("test"),
-            )
-            .collect()
-        }
-        total, all_train = sum(r["n"] for r in sizes.values()), sum(r["train"] for r in sizes.values())
-        if total < 2 * k:
-            return result
-        for fold in sorted(sizes):
-            n_train = all_train - sizes[fold]["train"]
-            if n_train < max(min_train, 1) or sizes[fold]["test"] < max(min_test, 1):
-                continue
-            train = table.filter((F.col("fold") != fold) & F.col("_train"))
-            test = table.filter((F.col("fold") == fold) & F.col("_test"))
-            if task == "classification":
-                index = class_index(train, target)
-                if len(index) < 2:
-                    continue
-                model = fit_classifier(encode_labels(train, target, index), "label", trees)
-                scored = _predict_class(model, encode_labels(test, target, index), index)
-                scored = scored.withColumn("observed", F.col(target).cast("string"))
-                score = macro_f1(scored, "observed", "predicted").first()
-                value, n_test = score["f1_macro"], score["n"]
-            else:
-                numeric = train.withColumn(target, F.col(target).cast("double"))
-                model = fit_regressor(numeric, target, trees, loss)
-                scored = model.transform(test).withColumns(
-                    {"predicted": F.col("prediction"), "observed": F.col(target).cast("double")}
-                )
-                score = scored.agg(
-                    mean_absolute_error(F.col("predicted"), F.col("observed")).alias("v"),
-                    F.count(F.lit(1)).alias("n"),
-                ).first()
-                value, n_test = score["v"], score["n"]
-            if not n_test:
+    # Every fold trains on this table and predictions are read later, so it is
+    # written out rather than cached.
+    table = materialize(assemble(with_fold, features, keep))
+    sizes = {
+        r["fold"]: r
+        for r in table.groupBy("fold")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("_train").alias("train"),
+            F.count_if("_test").alias("test"),
+        )
+        .collect()
+    }
+    total, all_train = sum(r["n"] for r in sizes.values()), sum(r["train"] for r in sizes.values())
+    if total < 2 * k:
+        return result
+    for fold in sorted(sizes):
+        n_train = all_train - sizes[fold]["train"]
+        if n_train < max(min_train, 1) or sizes[fold]["test"] < max(min_test, 1):
+            continue
+        train = table.filter((F.col("fold") != fold) & F.col("_train"))
+        test = table.filter((F.col("fold") == fold) & F.col("_test"))
+        if task == "classification":
+            index = class_index(train, target)
+            if len(index) < 2:
                 continue
-            result.folds.append((target, task, fold, METRIC[task], float(value), n_train, n_test))
-            weights = model.featureImportances.toArray()
-            result.importances += [
-                (target, fold, name, float(w)) for name, w in zip(features, weights, strict=True)
-            ]
-            result.predictions.append(
-                scored.select(
-                    F.lit(target).alias("target"),
-                    F.lit(task).alias("task"),
-                    F.lit(fold).alias("fold"),
-                    F.col(row_id).cast("string").alias("row_id"),
-                    F.col("predicted").cast("string").alias("predicted"),
-                    F.col("observed").cast("string").alias("observed"),
-                )
+            model = fit_classifier(encode_labels(train, target, index), "label", trees)
+            scored = _predict_class(model, encode_labels(test, target, index), index)
+            scored = scored.withColumn("observed", F.col(target).cast("string"))
+            score = macro_f1(scored, "observed", "predicted").first()
+            value, n_test = score["f1_macro"], score["n"]
+        else:
+            numeric = train.withColumn(target, F.col(target).cast("double"))
+            model = fit_regressor(numeric, target, trees, loss)
+            scored = model.transform(test).withColumns(
+                {"predicted": F.col("prediction"), "observed": F.col(target).cast("double")}
             )
-        return result
-    finally:
-        table.unpersist()
+            score = scored.agg(
+                mean_absolute_error(F.col("predicted"), F.col("observed")).alias("v"),
+                F.count(F.lit(1)).alias("n"),
+            ).first()
+            value, n_test = score["v"], score["n"]
+        if not n_test:
+            continue
+        result.folds.append((target, task, fold, METRIC[task], float(value), n_train, n_test))
+        weights = model.featureImportances.toArray()
+        result.importances += [
+            (target, fold, name, float(w)) for name, w in zip(features, weights, strict=True)
+        ]
+        result.predictions.append(
+            scored.select(
+                F.lit(target).alias("target"),
+                F.lit(task).alias("task"),
+                F.lit(fold).alias("fold"),
+                F.col(row_id).cast("string").alias("row_id"),
+                F.col("predicted").cast("string").alias("predicted"),
+                F.col("observed").cast("string").alias("observed"),
+            )
+        )
+    return result
 
 
 def cross_validate_all(
@@ -239,7 +239,7 @@ def fit_heads(
         labelled = df.filter(present(df, target))
         if labelled.limit(minimum).count() < minimum:
             continue
-        table = assemble(labelled, features, [row_id, target]).persist()
+        table = materialize(assemble(labelled, features, [row_id, target]))
         if task == "classification":
             index = class_index(table, target)
             model = fit_classifier(encode_labels(table, target, index), "label", trees)
@@ -258,7 +258,6 @@ def fit_heads(
                 marks = grouped_quantiles(residuals, [], "r", {"low": 0.1, "high": 0.9}).first()
                 head.low, head.high = marks["low"], marks["high"]
             heads.append(head)
-        table.unpersist()
     return heads
 
 

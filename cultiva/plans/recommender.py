@@ -110,7 +110,7 @@ def train_per_medium(
     ``table``: key, fold, features vector and one 0/1 column per medium. Folds
     with too few positives are skipped.
     """
-    table = table.persist()
+    table = materialize(table)
     sizes = _positives(table, media, ["fold"])
     n_all = sum(r["n"] for r in sizes)
     rows = []
@@ -135,23 +135,20 @@ def train_per_medium(
             rows.append(
                 (medium, r["fold"], n_train, n_test, test_pos, found["roc_auc"], found["pr_auc"])
             )
-    spark = table.sparkSession
-    table.unpersist()
-    return spark.createDataFrame(rows, FOLD_METRICS)
+    return table.sparkSession.createDataFrame(rows, FOLD_METRICS)
 
 
 def train_production(
     table: DataFrame, media: Sequence[str], trees: Trees = Trees(), minimum: int = 10
 ) -> dict[str, GBTClassificationModel]:
     """One model per medium on all rows; media short of either class are skipped."""
-    table = table.persist()
+    table = materialize(table)
     counts = _positives(table, media, [])[0]
     models = {}
     for medium in media:
         n_pos, n_neg = counts[medium], counts["n"] - counts[medium]
         if n_pos >= minimum and n_neg >= minimum:
             models[medium] = _fit(table, medium, n_pos, n_neg, trees)
-    table.unpersist()
     return models
 
 
@@ -197,7 +194,7 @@ def fold_scores(
     The score is the training prevalence where a fold has fewer than
     ``minimum`` positives or negatives to train on.
     """
-    table = table.persist()
+    table = materialize(table)
     sizes = _positives(table, media, ["fold"])
     n_all = sum(r["n"] for r in sizes)
     totals = {m: sum(r[m] for r in sizes) for m in media}
