@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
+from cultiva.llm.packing import pack, token_pieces
+from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
 from cultiva.llm.token_counts import token_counts
 from suite.base import Query, table
@@ -35,11 +38,10 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 grams AS (
-  SELECT rid, m, unnest(range(1, len(w) - m + 2)) AS i, w
+  SELECT rid, m, list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) AS gs
   FROM d, (SELECT unnest([3, 8]) AS m) WHERE len(w) >= m),
-seen AS (
-  SELECT rid, m, i, count(*) OVER (PARTITION BY rid, m, array_to_string(w[i:i + m - 1], ' ')) AS n,
-         array_to_string(w[i:i + m - 1], ' ') AS g FROM grams),
+placed AS (SELECT rid, m, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM grams),
+seen AS (SELECT rid, m, i, g, count(*) OVER (PARTITION BY rid, m, g) AS n FROM placed),
 twice AS (SELECT rid, m, i, g FROM seen WHERE n > 1),
 cover AS (
   SELECT rid, m, count(DISTINCT i + k) AS n
@@ -87,3 +89,46 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(samples(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumnRenamed("bacdive_id", "doc_id")
+
+
+@query("op8_merge_replay_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe_decode(bpe_encode(samples(spark, folder), ranks), ranks)
+    return decoded.select(
+        F.col("bacdive_id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def joined_spans(spans):
+    """``kind:start:end`` of all spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op9_deobfuscated_private_data")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_private_data(samples(spark, folder))
+    plain = F.filter("found", lambda s: s["plain"])
+    return found.select(
+        F.col("bacdive_id").alias("doc_id"),
+        *[
+            F.size(F.array_remove(F.transform(plain, lambda s: s["kind"] != kind), True)).cast("long").alias(
+                f"n_{kind}"
+            )
+            for kind in KINDS
+        ],
+        F.sha2(joined_spans(plain), 256).alias("base_sha256"),
+        joined_spans("found").alias("spans"),
+    )
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(samples(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.select(
+        F.col("bacdive_id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return pack(digests)
