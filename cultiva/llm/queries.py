@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
+from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
 from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
@@ -132,3 +133,17 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.col("bacdive_id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     return pack(digests)
+
+
+@query("op1_line_field_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("bacdive_id").cast("string")) % 5 == 0
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("bacdive_id"), "quality")
+    texts = samples(spark, folder)
+    field = fit_line_field(texts, labels.filter(~held_out))
+    return score_lines(texts, field).select(
+        F.col("bacdive_id").alias("doc_id"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
