@@ -11,6 +11,7 @@ from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
 from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
+from cultiva.llm.substrings import remove_repeated_windows
 from cultiva.llm.token_counts import token_counts
 from suite.base import Query, table
 
@@ -78,6 +79,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 FROM judged
 """
 
+SUBSTRING_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+grams AS (
+  SELECT rid, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' '))) AS gs
+  FROM d WHERE len(w) >= 35),
+placed AS (SELECT rid, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM grams),
+seen AS (SELECT rid, i, count(*) OVER (PARTITION BY g) AS n FROM placed),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM (SELECT rid, i, unnest(range(0, 35)) AS k FROM seen WHERE n > 1)),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+  FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 
 @query("op4_suffix_array_repetition", REPETITION_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,3 +166,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op7_count_min_substrings", SUBSTRING_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeated_windows(samples(spark, folder))
+    return kept.select(
+        F.col("bacdive_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
