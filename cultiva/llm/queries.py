@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
+from cultiva.llm.jaccard import jaccard_components
 from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
 from cultiva.llm.private_data import KINDS, find_private_data
@@ -174,3 +175,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(
         F.col("bacdive_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op10_grouped_prefix_jaccard")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(samples(spark, folder)).withColumnRenamed("bacdive_id", "doc_id")
