@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
+from cultiva.llm.flat_graph import embedding_duplicates
 from cultiva.llm.jaccard import jaccard_components
 from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
@@ -99,6 +100,21 @@ FROM d LEFT JOIN kept USING (rid)
 """
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y
+  ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM e
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::bigint AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counted ON vec_id = a
+"""
+
+
 @query("op4_suffix_array_repetition", REPETITION_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Longest repeats under 8 words never decide: 15 words is 30 % of the least length."""
@@ -180,3 +196,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_grouped_prefix_jaccard")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(samples(spark, folder)).withColumnRenamed("bacdive_id", "doc_id")
+
+
+@query("op2_flat_graph_duplicates", EMBEDDING_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("genome_accession"), "embedding")
+    return embedding_duplicates(vectors).withColumnRenamed("genome_accession", "vec_id")
