@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
 from cultiva.llm.flat_graph import embedding_duplicates
+from cultiva.llm.fuzzy_lines import remove_fuzzy_lines
 from cultiva.llm.jaccard import jaccard_components
 from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
@@ -202,3 +203,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("genome_accession"), "embedding")
     return embedding_duplicates(vectors).withColumnRenamed("genome_accession", "vec_id")
+
+
+@query("op6_simhash_fuzzy_lines")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_fuzzy_lines(samples(spark, folder))
+    return kept.select(
+        F.col("bacdive_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
