@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cultiva.llm.kernels import (
-    arrow_map, binary_column, coded, cut, gather_ranges, hashed, mixed, owners, sums, text_blocks,
+    arrow_map, binary_column, carried, coded, cut, gather_ranges, hashed, mixed, owners, sums, text_blocks,
     to_signed, window_hashes, word_spans,
 )
 from cultiva.llm.sketches import merged_sketch
@@ -169,7 +169,7 @@ def _prefix_hashes(batches, text, n, percent, frequency) -> Iterator[np.ndarray]
         yield _self_token(sets.grp[_new(sets.cls, some, classes)])
 
 
-def _members(batches, text, n, percent, frequency, shared) -> Iterator[pa.RecordBatch]:
+def _members(batches, text, n, percent, frequency, shared, drop) -> Iterator[pa.RecordBatch]:
     """One row per text; the first of a class in a task also has tokens and bitmap."""
     groups: set = set()
     classes: set = set()
@@ -194,7 +194,7 @@ def _members(batches, text, n, percent, frequency, shared) -> Iterator[pa.Record
         in_use[owner] = True
         in_use[first] = True
         empty = sets.sizes == 0
-        out = rows.drop_columns([text])
+        out = rows.drop_columns(drop)
         out = out.append_column("n_shingles", pa.array(sets.sizes, pa.int64()))
         out = out.append_column("cls", pa.array(to_signed(sets.cls), pa.int64(), mask=empty))
         out = out.append_column("grp", pa.array(to_signed(sets.grp), pa.int64(), mask=empty))
@@ -360,13 +360,15 @@ def jaccard_components(
     text: str = "iso_sample_text",
     ngram: int = NGRAM,
     percent: int = PERCENT,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(key, n_shingles, component_id)``: groups of similar isolation texts.
+    """``(key, n_shingles, component_id, cluster)``: groups of similar isolation texts.
 
     The set of a text are its distinct word ``ngram``s, A to Z lower-cased; with
     fewer words, the whole sequence. Two texts link when the shared shingles are at
     least ``percent`` of the union of both sets. ``component_id`` is the smallest
-    ``key`` reachable over links, itself included.
+    ``key`` reachable over links, itself included; ``cluster`` numbers the group and is
+    null for a text without shingles.
 
     Texts with equal sets are one class. Shingles are put in one global order, rare
     hash buckets first, and classes with the same prefix and size form a group; by
@@ -382,10 +384,10 @@ def jaccard_components(
 
     Texts without words, empty or null, have no shingles and link with nothing. A
     null key is nobody's smallest key: a component of null keys alone has a null id.
-    Repeated rows are texts of their own; other columns are ignored.
+    Repeated rows are texts of their own. Columns named in ``carry`` come back as they
+    are (their names must not be those above), the others are ignored.
     """
-    chosen = samples.select(key, text)
-    kind = chosen.schema[key].dataType.simpleString()
+    chosen, fields, drop = carried(samples, key, text, carry)
     join = _Join(chosen.select(text), text, ngram, percent)
     shared = join.context.broadcast(
         merged_sketch(join.texts, partial(_prefix_hashes, **join.common), 2, LOG_TOKEN_CELLS)
@@ -393,8 +395,8 @@ def jaccard_components(
     members = written(
         arrow_map(
             chosen,
-            partial(_members, shared=shared, **join.common),
-            f"`{key}` {kind}, n_shingles bigint, cls bigint, grp bigint, tokens array<bigint>, places array<int>, "
+            partial(_members, shared=shared, drop=drop, **join.common),
+            f"{fields}, n_shingles bigint, cls bigint, grp bigint, tokens array<bigint>, places array<int>, "
             "bitmap binary",
         )
     )
@@ -439,13 +441,15 @@ def jaccard_components(
     )
     links = links.unionByName(join.verified(rest))
     of_class = components(links).withColumnRenamed("node", "cls")
-    named = members.select(key, "n_shingles", "cls").join(of_class, "cls", "left")
+    kept = [key, *[c for c in carry if c != key]]
+    named = members.select(*kept, "n_shingles", "cls").join(of_class, "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
     smallest = (
         named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(key).alias("component_id"))
     )
     return named.join(smallest, "component", "left").select(
-        key,
+        *kept,
         "n_shingles",
         F.when(F.col("component").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("component").alias("cluster"),
     )

@@ -29,6 +29,19 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def carried(df: DataFrame, key: str, text: str, carry) -> tuple[DataFrame, str, list[str]]:
+    """``(rows, fields, drop)`` for a map that keeps ``key`` and the columns ``carry``.
+
+    ``fields`` is the schema text of what the map passes through, ``drop`` lists what
+    it must leave out of its result.
+    """
+    names = list(dict.fromkeys([key, text, *carry]))
+    chosen = df.select(*[f"`{n}`" for n in names])
+    kept = [n for n in names if n == key or n in carry]
+    fields = ", ".join(f"`{n}` {chosen.schema[n].dataType.simpleString()}" for n in kept)
+    return chosen, fields, [n for n in names if n not in kept]
+
+
 def text_blocks(
     batches: Iterable[pa.RecordBatch], column: str, size: int = TEXT_BLOCK_BYTES
 ) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:

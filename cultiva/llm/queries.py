@@ -196,7 +196,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_grouped_prefix_jaccard")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_components(samples(spark, folder)).withColumnRenamed("bacdive_id", "doc_id")
+    found = jaccard_components(samples(spark, folder))
+    return found.select(F.col("bacdive_id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query("op2_flat_graph_duplicates", EMBEDDING_SQL)
@@ -211,3 +212,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(
         F.col("bacdive_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cultiva.llm.kernels import (
-    arrow_map, coded, cut, line_spans, owners, sums, text_blocks, word_spans,
+    arrow_map, carried, coded, cut, line_spans, owners, sums, text_blocks, word_spans,
 )
 
 # Production limits. The first two belong to the base rules, the last three to the
@@ -119,7 +119,7 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _profile(batches: Iterator[pa.RecordBatch], text: str, limits: dict) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], text: str, limits: dict, drop: list[str]) -> Iterator[pa.RecordBatch]:
     for rows, data, bounds in text_blocks(batches, text, BLOCK_BYTES):
         starts, ends, word_bounds = word_spans(data, bounds)
         codes = coded(cut(data, starts, ends))[0]
@@ -161,7 +161,7 @@ def _profile(batches: Iterator[pa.RecordBatch], text: str, limits: dict) -> Iter
             longest,
         ]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        out = rows.drop_columns([text])
+        out = rows.drop_columns(drop)
         for name, values in zip(names, [*columns, failed, kept]):
             kind = pa.bool_() if values.dtype == bool else pa.int64()
             out = out.append_column(name, pa.array(values, kind))
@@ -177,6 +177,7 @@ def repetition_profile(
     repeat_words: int = REPEAT_WORDS,
     max_covered_pct: int = MAX_COVERED_PCT,
     max_longest_pct: int = MAX_LONGEST_PCT,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Word, symbol and repetition counts of every isolation text, and a verdict.
 
@@ -191,7 +192,8 @@ def repetition_profile(
     ``max_longest_pct`` percent of its words.
 
     A null or empty text has zero counts and fails. Repeated rows and null keys are
-    kept as rows of their own; other columns of ``samples`` are ignored. No
+    kept as rows of their own. Columns named in ``carry`` come back as they are (their
+    names must not be those above), the others are ignored. No
     shuffle: every text stands alone, and suffixes are sorted block by block.
     """
     limits = {
@@ -203,6 +205,5 @@ def repetition_profile(
     }
     if repeat_words < 3:
         raise ValueError("repeat_words must be 3 or more")
-    chosen = samples.select(key, text)
-    kind = chosen.schema[key].dataType.simpleString()
-    return arrow_map(chosen, partial(_profile, text=text, limits=limits), f"`{key}` {kind}, {SCHEMA}")
+    chosen, fields, drop = carried(samples, key, text, carry)
+    return arrow_map(chosen, partial(_profile, text=text, limits=limits, drop=drop), f"{fields}, {SCHEMA}")
