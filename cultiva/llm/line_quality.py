@@ -268,7 +268,13 @@ def _fit(batches: Iterator[pa.RecordBatch], text: str, label: str, steps: int) -
     share = np.bincount(labels, minlength=2)
     weight = 1 / np.maximum(sizes, 1) / np.maximum(share[labels], 1)
     weights = _fit_share(features, bounds, np.repeat(labels, sizes), weight * len(labels), steps)
-    yield pa.record_batch({"n": pa.array([len(labels)], pa.int64()), "weights": pa.array([weights.tolist()])})
+    yield pa.record_batch(
+        {
+            "n": pa.array([len(labels)], pa.int64()),
+            "both": pa.array([bool(share.all())]),
+            "weights": pa.array([weights.tolist()]),
+        }
+    )
 
 
 def fit_line_field(
@@ -301,15 +307,15 @@ def fit_line_field(
     rows = (
         samples.select(key, text)
         .join(picked, key)
-        .select(F.coalesce(text, F.lit("")).alias(text), F.col("_label").cast("int"))
-    )
-    dealt = written(rows).repartition(FIT_SHARES, F.xxhash64(text)).sortWithinPartitions("_label", text)
-    fitted = sorted(
-        (row["n"], row["weights"])
-        for row in arrow_map(
-            dealt, partial(_fit, text=text, label="_label", steps=steps), "n bigint, weights array<double>"
-        ).collect()
+        .select(key, F.coalesce(text, F.lit("")).alias(text), F.col("_label").cast("int"))
     )
+    dealt = written(rows).repartition(FIT_SHARES, key).sortWithinPartitions("_label", key, text)
+    shares = arrow_map(
+        dealt, partial(_fit, text=text, label="_label", steps=steps), "n bigint, both boolean, weights array<double>"
+    ).collect()
+    # A task that saw one label only learnt nothing; it counts if all were like that.
+    shares = [row for row in shares if row["both"]] or shares
+    fitted = sorted((row["n"], row["weights"]) for row in shares)
     if not fitted:
         return LineField(np.zeros(WIDTH), np.zeros((2, 2)))
     total = sum(n for n, _ in fitted)
