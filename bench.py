@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -70,7 +71,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
+    configure(spark, tempfile.mkdtemp(prefix="bench-"))
     spark.read.parquet(f"{folder}/nation.parquet").count()
     seconds: dict[str, float] = {}
     for name in names:

@@ -145,6 +145,11 @@ def slugify(tag: Column) -> Column:
     return F.trim(F.regexp_replace(named, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def place_slug(name: Column) -> Column:
+    """Lower-case column-name form of a place."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
 def feature_family(name: Column) -> Column:
     """Feature group a column name belongs to."""
     marker = F.regexp_extract(name, "^hmm_(.+)_(?:n|score|present)$", 1)

@@ -36,7 +36,7 @@ def catalog_rows(catalog: DataFrame) -> DataFrame:
     accession = S.safe_text(F.col("genome_accession"), "—")
     shown = [
         accession.alias("accession"),
-        F.coalesce(S.safe_text(F.col("ncbi_organism_name")), accession).alias("name"),
+        F.coalesce(F.nullif(S.safe_text(F.col("ncbi_organism_name")), F.lit("")), accession).alias("name"),
         S.safe_text(F.col("phylum"), "—").alias("phylum"),
         S.safe_float(F.col("checkm_completeness"), 1).alias("completeness"),
         F.col("truly_uncultured"),

@@ -3,27 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cultiva import values
-from cultiva.functions.scalars import slugify
+from cultiva.functions.scalars import place_slug, slugify
 from cultiva.operators.aggregates import tag_counts, top_values
+from cultiva.operators.ordered import row_index
 from cultiva.session import materialize
 
-MAX_CATEGORIES = 100_000
-
 
 def _slugs(df: DataFrame, tag: str) -> list[tuple[str, str]]:
     """``(tag, slug)`` in tag order; the first tag of a slug wins.
 
-    The rows are the distinct tags that become columns, so their number is the
-    width of the result. A wider result is refused rather than cut.
+    The rows are the distinct tags that become columns, so what reaches the driver
+    is the header of the result. For tags without a bound use the long form.
     """
-    rows = df.select(tag, slugify(F.col(tag)).alias("slug")).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories cannot become columns")
+    rows = df.select(tag, slugify(F.col(tag)).alias("slug")).collect()
     seen: dict[str, str] = {}
     for row in sorted(rows, key=lambda r: r[tag]):
         seen.setdefault(row["slug"], row[tag])
@@ -52,16 +50,46 @@ def one_hot_tags(
     return df.withColumns(added), list(added)
 
 
+def one_hot_tags_long(
+    df: DataFrame,
+    key: str,
+    columns: Sequence[str] = ("isolation_cat1", "isolation_cat2"),
+    min_count: int = 10,
+) -> DataFrame:
+    """``(key, column)`` of all ones of :func:`one_hot_tags`, for any number of tags.
+
+    Nothing reaches the driver. Where two tags share a column, the first by name
+    has it.
+    """
+    parts = []
+    for column in columns:
+        if column not in df.columns:
+            continue
+        level = column.split("_")[1] if "_" in column else column
+        names = (
+            tag_counts(df, column)
+            .filter(F.col("n") >= min_count)
+            .groupBy(F.concat(F.lit(f"iso_{level}_"), slugify(F.col("tag"))).alias("column"))
+            .agg(F.min("tag").alias("_tag"))
+        )
+        ones = df.select(
+            key, F.explode(F.array_distinct(F.split(F.coalesce(F.col(column), F.lit("")), r"\|"))).alias("_tag")
+        )
+        parts.append(ones.join(names, "_tag").select(key, "column"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def one_hot_places(df: DataFrame, top_countries: int = 30) -> tuple[DataFrame, list[str]]:
     """Continent (all), country (most frequent) and host kingdom columns.
 
+    The names that become columns reach the driver: they are the result's header.
     Where two names share a slug, the later name in order takes the column.
     """
     added: dict[str, Column] = {}
 
     def flags(column: str, names: DataFrame) -> None:
-        rows = names.select(column, slugify(F.col(column)).alias("slug")).limit(MAX_CATEGORIES + 1)
-        for row in sorted(rows.collect(), key=lambda r: r[column]):
+        rows = names.select(column, place_slug(F.col(column)).alias("slug")).collect()
+        for row in sorted(rows, key=lambda r: r[column]):
             if row["slug"]:
                 added[f"{column}_{row['slug']}"] = F.coalesce(
                     (F.col(column) == row[column]).cast("int"), F.lit(0)
@@ -117,15 +145,30 @@ def label_matrix(
 
 
 def class_index(df: DataFrame, label: str) -> dict[str, int]:
-    """Alphabetical class numbers of a training set."""
-    rows = df.select(label).dropna().distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} classes")
+    """Alphabetical class numbers of a training set, as a model's list of outputs.
+
+    For a label without a bound on its classes use :func:`class_table`.
+    """
+    rows = df.select(label).dropna().distinct().collect()
     return {name: i for i, name in enumerate(sorted(str(r[0]) for r in rows))}
 
 
-def encode_labels(df: DataFrame, label: str, index: dict[str, int], into: str = "label") -> DataFrame:
-    """Numeric class; rows whose class is not in ``index`` are dropped."""
+def class_table(df: DataFrame, label: str, into: str = "label") -> DataFrame:
+    """``(label, into)``: alphabetical class numbers, for any number of classes."""
+    names = df.select(F.col(label).cast("string").alias(label)).dropna().distinct()
+    return row_index(names, [label], into=into).withColumn(into, F.col(into).cast("double"))
+
+
+def encode_labels(
+    df: DataFrame, label: str, index: dict[str, int] | DataFrame, into: str = "label"
+) -> DataFrame:
+    """Numeric class; rows whose class is not in ``index`` are dropped.
+
+    ``index`` is that of :func:`class_index` or the table of :func:`class_table`.
+    """
+    if isinstance(index, DataFrame):
+        named = index.select(F.col(label).alias("_class"), F.col(index.columns[-1]).alias(into))
+        return df.join(named, F.col(label).cast("string") == F.col("_class")).drop("_class")
     if not index:
         return df.withColumn(into, F.lit(None).cast("double")).limit(0)
     pairs = [F.lit(x) for item in index.items() for x in item]

@@ -19,8 +19,12 @@ from cultiva.operators.ranking import page
 
 
 def score_counts(scores: DataFrame, keys: Sequence[str], label: str = "y", score: str = "score") -> DataFrame:
-    """``(keys, score, n_pos, n_neg)``: all a threshold metric needs to know."""
-    return scores.groupBy(*keys, score).agg(
+    """``(keys, score, n_pos, n_neg)``: all a threshold metric needs to know.
+
+    Rows without a label or with a score that is no number are left out.
+    """
+    known = F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    return scores.filter(known).groupBy(*keys, score).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
     )
 
@@ -38,7 +42,7 @@ def auc_from_counts(counts: DataFrame, keys: Sequence[str], score: str = "score"
     sums = ordered.groupBy(*keys).agg(
         F.sum("n_pos").alias("n_pos"),
         F.sum("n_neg").alias("n_neg"),
-        F.sum(F.col("n_pos") * tp / (tp + fp)).alias("_precision"),
+        F.sum(F.try_divide(F.col("n_pos") * tp, tp + fp)).alias("_precision"),
         F.sum(won).alias("_won"),
     )
     return sums.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
@@ -94,7 +98,8 @@ def popularity_scores(strains: DataFrame, positives: DataFrame, key: str = "bacd
     """Share of a fold's training strains that grow on each medium.
 
     ``strains``: key, fold. Result: fold, medium_id, score. Training counts are
-    totals minus the fold's own counts, so nothing is copied per fold.
+    totals minus the fold's own counts, so nothing is copied per fold. Where all
+    strains are in one fold, it has no training strains and every score is 0.
     """
     sizes = strains.groupBy("fold").agg(F.count(F.lit(1)).alias("_fold_n"))
     grown = positives.join(strains, key).groupBy("fold", "medium_id").agg(
@@ -111,8 +116,11 @@ def popularity_scores(strains: DataFrame, positives: DataFrame, key: str = "bacd
     return joined.select(
         "fold",
         "medium_id",
-        (
-            (F.col("_pos") - F.coalesce("_fold_pos", F.lit(0))) / (F.col("_n") - F.col("_fold_n"))
+        F.coalesce(
+            F.try_divide(
+                F.col("_pos") - F.coalesce("_fold_pos", F.lit(0)), F.col("_n") - F.col("_fold_n")
+            ),
+            F.lit(0.0),
         ).alias("score"),
     )
 

@@ -27,19 +27,25 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
 def prefix_sums(
     rows: DataFrame,
     keys: Sequence[str],
-    order_by: Sequence[str],
+    order_by: Sequence[str | Column],
     sums: Sequence[str],
     suffix: str = "_before",
     descending: bool = False,
 ) -> DataFrame:
     """Running sum of the *preceding* rows within each group.
 
-    ``rows`` must be unique on ``keys + order_by``. For every column of ``sums``
+    ``rows`` must be unique on ``keys + order_by``; a column expression in ``order_by``
+    brings its own direction. For every column of ``sums``
     a column with ``suffix`` is added that excludes the row itself.
     """
     keys = list(keys)
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    ordering = [direction(c) for c in order_by]
+
+    def directed(c: str | Column) -> Column:
+        if isinstance(c, str):
+            return F.col(c).desc() if descending else F.col(c).asc()
+        return c
+
+    ordering = [directed(c) for c in order_by]
     parts = materialize(
         rows.repartitionByRange(*[F.col(k).asc() for k in keys], *ordering).withColumn(
             "_part", F.spark_partition_id()
@@ -76,7 +82,7 @@ def prefix_sums(
 
 
 def row_index(
-    df: DataFrame, order_by: Sequence[str], into: str = "row_index", total: str | None = None
+    df: DataFrame, order_by: Sequence[str | Column], into: str = "row_index", total: str | None = None
 ) -> DataFrame:
     """Consecutive numbers from 0 in the order of the unique key ``order_by``."""
     counted = prefix_sums(df.withColumn("_one", F.lit(1).cast("bigint")), [], order_by, ["_one"])

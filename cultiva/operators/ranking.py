@@ -187,15 +187,22 @@ def top_errors(predictions: DataFrame, n: int = 25, tie: Sequence[str] = ()) ->
 
 
 def page(df: DataFrame, order_by: Sequence[str | Column], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a fully ordered table."""
-    ordered = df.orderBy(*_columns(order_by))
-    if offset:
-        ordered = ordered.offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
+    """Rows ``offset`` to ``offset + limit`` of a fully ordered table.
 
-
-# Up to this many rows are gathered in one heap; larger samples stay distributed.
-MAX_HEAP_ROWS = 100_000
+    Without a limit an offset is cut off by row number, so the rest of the table
+    stays spread over its tasks.
+    """
+    ordering = _columns(order_by)
+    if limit is not None:
+        ordered = df.orderBy(*ordering)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    if not offset:
+        return df.orderBy(*ordering)
+    # Directions are turned into one ascending key, whose ties are rows of their own.
+    numbered = row_index(
+        df.withColumn("_tie", F.monotonically_increasing_id()), [*ordering, "_tie"], into="_row"
+    )
+    return numbered.filter(F.col("_row") >= offset).orderBy("_row").drop("_row", "_tie")
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
@@ -204,7 +211,5 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFr
     ``key`` must be unique; a sample at least as large as the table is the table.
     """
     order = F.xxhash64(*key, F.lit(seed))
-    if n <= MAX_HEAP_ROWS:
-        return df.orderBy(order, *key).limit(n)
     numbered = row_index(df.withColumn("_hash", order), ["_hash", *key], into="_row")
     return numbered.filter(F.col("_row") < n).drop("_row", "_hash")

@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cultiva.session import broadcast_if_small, materialize
+from cultiva.session import materialize
 
 TOKEN = r"(K\d{5}|[()+,-]|\s+)"
 EMPTY = "E"  # an alternative that can never be met
 ROOT = 0
-MAX_BROADCAST_NODES = 1_000_000
 
 
 def _tokens(definition: Column) -> Column:
@@ -151,10 +150,7 @@ def module_completeness(
     """
     nodes = materialize(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0]
-    leaves = broadcast_if_small(
-        nodes.filter(F.col("kind") == "leaf").select("module", "ko", "depth", "parent", "chain"),
-        MAX_BROADCAST_NODES,
-    )
+    leaves = nodes.filter(F.col("kind") == "leaf").select("module", "ko", "depth", "parent", "chain")
     brackets = nodes.filter(F.col("kind") == "and").select(
         "module",
         F.col("node").alias("_node"),
@@ -163,7 +159,6 @@ def module_completeness(
         F.col("parent").alias("_parent"),
         F.col("chain").alias("_chain"),
     )
-    brackets = broadcast_if_small(brackets, MAX_BROADCAST_NODES)
     # The distinct hits are the only large input and every depth reads them, so
     # they are written out once; each leaf belongs to one depth.
     held = materialize(

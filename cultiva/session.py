@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings the operators are written for. All are runtime SQL settings, so they
 # can be applied to a session somebody else created.
@@ -21,10 +19,20 @@ RUNTIME_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_SETTINGS` to ``spark``."""
+def configure(spark: SparkSession, scratch: str | None = None) -> SparkSession:
+    """Apply :data:`RUNTIME_SETTINGS` to ``spark``.
+
+    ``scratch`` is the checkpoint folder of a local session that names none; a
+    session that sets ``spark.checkpoint.dir`` keeps its own.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    named = context._jsc.sc().getCheckpointDir().isDefined() or context.getConf().get("spark.checkpoint.dir")
+    if scratch is not None and not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(scratch)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -32,9 +40,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make reliable checkpoints possible.
 
-    The directory comes from ``spark.checkpoint.dir``. Only a local-mode session
-    that names none gets a temporary folder; a cluster session must name a
-    shared folder, because executors cannot see each other's disks.
+    The folder comes from ``spark.checkpoint.dir`` or from :func:`configure`. There is
+    no silent default: executors cannot see each other's disks.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
@@ -42,8 +49,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cultiva-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
@@ -58,17 +63,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    Beyond that the join is left to Spark, which shuffles both sides. The count
-    stops at ``max_rows + 1`` rows; pass a materialized table so that it is cheap.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def shared_scratch(spark: SparkSession) -> str:
     """A new folder name inside the checkpoint folder, visible to every executor."""
     ensure_checkpoint_dir(spark)

@@ -54,19 +54,27 @@ def shard(df: DataFrame, id_column: str, shards: int, index: int) -> DataFrame:
 
 def _existing(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).select(*columns).distinct()
+        return spark.read.parquet(path).select(*columns)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
-def append_new(df: DataFrame, key: Sequence[str], path: str) -> None:
+def append_new(df: DataFrame, key: Sequence[str], path: str, order_by: Sequence[str] = ()) -> None:
     """Append the rows whose key is not in ``path`` yet; safe to run again.
 
-    Duplicates inside ``df`` are reduced to one row per key.
+    Of several rows of a key in ``df`` the first by ``order_by`` is taken, then by
+    all other columns, so a rerun takes the same one.
     """
-    fresh = df.dropDuplicates(list(key))
+    others = [c for c in df.columns if c not in key]
+    first = F.min_by(F.struct(*others), F.struct(*order_by, *others)) if others else None
+    if first is None:
+        fresh = df.distinct()
+    else:
+        fresh = df.groupBy(*key).agg(first.alias("_row")).select(
+            *[F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in df.columns]
+        )
     known = _existing(df.sparkSession, path, key)
     if known is not None:
         fresh = fresh.join(known, list(key), "left_anti")

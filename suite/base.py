@@ -36,14 +36,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work when the file is a single split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *df.columns[:2])
-
-
 def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(*columns)
 
@@ -159,7 +151,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as contigs of the genome named by their source."""
-    return spread(table(spark, folder, "documents").select("source", "doc_id", "text")).select(
+    return table(spark, folder, "documents").select("source", "doc_id", "text").select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("contig_id"),
         F.translate("text", "acgt", "ACGT").alias("seq"),
@@ -167,7 +159,7 @@ def contigs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("source", "doc_id", "text")).select(
+    return table(spark, folder, "documents").select("source", "doc_id", "text").select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("protein_idx"),
         F.translate("text", LOWER, UPPER).alias("aa"),

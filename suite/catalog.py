@@ -202,5 +202,5 @@ def join_marker_sequences(spark, folder):
         F.create_map(F.lit("oxygen"), F.length("event_type")).alias("category_counts"),
         "event_id",
     )
-    joined = J.join_sequences(rows, sequences, how="left", order_by=["event_id"])
+    joined = J.join_sequences(rows, sequences, ["event_id"], matched_only=False)
     return joined.select("c_custkey", F.col("category_counts")["oxygen"].alias("n_sequences"))

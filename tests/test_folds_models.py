@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cultiva.operators.folds import fold_of_groups, group_folds, random_fold
+from cultiva.operators.folds import dealing_plan, fold_of_groups, group_folds, random_fold
 from cultiva.operators.metrics import constant_mean_mae
 from cultiva.plans import phenotype as H
 from cultiva.plans import recommender as P
@@ -29,10 +29,18 @@ def test_two_groups_give_two_folds(spark):
     assert {r["fold"] for r in group_folds(df, "g", 5).collect()} == {0, 1}
 
 
-def test_many_groups_use_snake_order(spark):
-    df = spark.createDataFrame([(f"g{i}", j) for i in range(10) for j in range(i + 1)], "g string, i int")
-    folds = {r["g"]: r["fold"] for r in fold_of_groups(df, "g", 3, max_driver_groups=5).collect()}
-    assert [folds[f"g{i}"] for i in (9, 8, 7, 6, 5, 4, 3, 2, 1, 0)] == [0, 1, 2, 2, 1, 0, 0, 1, 2, 2]
+@pytest.mark.parametrize("sizes", [{1: 9}, {3: 1, 1: 12}, {50: 1, 7: 5, 2: 3, 1: 40}, {4: 2, 3: 3}])
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_dealing_plan_is_the_greedy_rule(sizes, k):
+    load, want = [0] * k, []
+    for size in sorted(sizes, reverse=True):
+        for i in range(sizes[size]):
+            fold = min(range(k), key=lambda f: (load[f], f))
+            load[fold] += size
+            want.append((size, i, fold))
+    plan = dealing_plan(list(sizes.items()), k)
+    got = [(s, first + i, turn[i % len(turn)]) for s, first, n, turn in plan for i in range(n)]
+    assert got == want
 
 
 def test_random_folds_ignore_partitioning(spark):

@@ -22,17 +22,17 @@ def sequences(spark):
 
 
 def test_sequence_join_modes(features, sequences):
-    inner = J.join_sequences(features, sequences, order_by=["line"]).collect()
+    inner = J.join_sequences(features, sequences, ["line"]).collect()
     assert [(r["genome_accession"], r["category_counts"]) for r in inner] == [("G1", {"oxygen": 1})]
-    left = {r["genome_accession"]: r["by_category"] for r in J.join_sequences(features, sequences, how="left").collect()}
+    left = {r["genome_accession"]: r["by_category"] for r in J.join_sequences(features, sequences, ["line"], matched_only=False).collect()}
     assert set(left) == {"G1", "G2"} and left["G2"] is None
 
 
 def test_sequence_join_checks_columns(features, sequences):
     with pytest.raises(ValueError, match="by_category"):
-        J.join_sequences(features, sequences.drop("by_category"))
+        J.join_sequences(features, sequences.drop("by_category"), ["line"])
     with pytest.raises(ValueError, match="genome_accession"):
-        J.join_sequences(features.drop("genome_accession"), sequences)
+        J.join_sequences(features.drop("genome_accession"), sequences, ["line"])
 
 
 def test_hybrid_fallback_and_order(spark, features):
