@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -76,7 +77,7 @@ def main() -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
+    configure(spark, tempfile.mkdtemp(prefix="suite-"))
     con = connect(folder)
     bad = 0
     for name, item in REGISTRY.items():

@@ -71,8 +71,9 @@ def pooled(spark, folder):
     "pool_per_category",
     VECTORS_SQL
     + f"""SELECT g.genome_accession, c.category, count(x) // 64 AS n, (SELECT count(DISTINCT protein_idx) FROM vectors v WHERE v.genome_accession = g.genome_accession) AS total,
-  {r("coalesce(avg(x) FILTER (WHERE i = 0), 0)")} AS first, {r("coalesce(avg(x) FILTER (WHERE i = 63), 0)")} AS last
+  s.i::int AS i, {r("coalesce(avg(x) FILTER (WHERE l.i = s.i), 0)")} AS x
 FROM (SELECT DISTINCT genome_accession FROM vectors) g
+CROSS JOIN range(0, 64) s(i)
 CROSS JOIN (VALUES ('temperature'), ('ph'), ('oxygen'), ('salt'), ('vitamin'), ('nitrogen'), ('carbon'), ('special')) c(category)
 LEFT JOIN long l ON l.genome_accession = g.genome_accession AND l.category = c.category GROUP BY ALL""",
 )
@@ -81,15 +82,14 @@ def pool_per_category(spark, folder):
     entries = [
         F.struct(
             F.lit(c).alias("category"), F.col(f"pme_{c}_n").alias("n"),
-            F.get(f"pme_{c}", F.lit(0)).alias("first"), F.get(f"pme_{c}", F.lit(63)).alias("last"),
+            F.col(f"pme_{c}").alias("vector"),
         )
         for c in V.values.CATEGORIES
     ]
-    return rounded(
-        wide.select(
-            "genome_accession", F.col("pme_marker_proteins_total").alias("total"), F.inline(F.array(*entries))
-        )
+    long = wide.select(
+        "genome_accession", F.col("pme_marker_proteins_total").alias("total"), F.inline(F.array(*entries))
     )
+    return rounded(long.select("genome_accession", "total", "category", "n", F.posexplode("vector").alias("i", "x")))
 
 
 @query(
@@ -115,7 +115,9 @@ def flatten_vector(spark, folder):
 
 
 SOFTMAX_SQL = """
-WITH logits AS (SELECT vec_id, [embedding[1]::double * 10, embedding[2]::double * 10, embedding[3]::double * 10, embedding[4]::double * 10] AS z FROM embeddings),
+WITH logits AS (
+  SELECT vec_id, list_transform([0, 16, 32, 48], lambda b: list_sum(list_transform(embedding[b + 1:b + 16], lambda x: x::double)) * 4) AS z
+  FROM embeddings),
 p AS (SELECT vec_id, list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda y: exp(y)))) AS p FROM logits)
 """
 
@@ -128,6 +130,8 @@ p AS (SELECT vec_id, list_transform(z, lambda x: exp(x) / list_sum(list_transfor
   {r('p[2]')} AS pred_oxygen_requirement_prob_anaerobe, {r('p[3]')} AS pred_oxygen_requirement_prob_facultative_anaerobe, {r('p[4]')} AS pred_oxygen_requirement_prob_microaerobe FROM p""",
 )
 def softmax_classes(spark, folder):
-    z = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10)
+    """Every entry counts: the logit of a class is the sum of its block of 16."""
+    blocks = [F.slice("embedding", 16 * b + 1, 16) for b in range(4)]
+    z = F.array(*[F.aggregate(b, F.lit(0.0), lambda total, x: total + x.cast("double")) * 4 for b in blocks])
     logits = table(spark, folder, "embeddings").select("vec_id", z.alias("logits"))
     return rounded(V.classify(logits, "vec_id", source="model"))

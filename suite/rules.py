@@ -29,7 +29,7 @@ modules AS (
          'K' || lpad(((n_nationkey * 11 + 4) % 40)::varchar, 5, '0') AS e FROM nation),
 ko AS (
   SELECT DISTINCT 'GCA_' || o_custkey::varchar AS genome_accession, 'K' || lpad((l_partkey % 40)::varchar, 5, '0') AS ko
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 held AS (
   SELECT g.genome_accession, module, shape,
     (a IN (SELECT ko FROM ko k WHERE k.genome_accession = g.genome_accession))::int AS a, (b IN (SELECT ko FROM ko k WHERE k.genome_accession = g.genome_accession))::int AS b,
@@ -64,8 +64,7 @@ def modules(spark, folder):
 
 def profile_hits(spark, folder):
     return (
-        lines(spark, folder, "l_orderkey", "l_partkey", "l_quantity")
-        .filter("l_quantity > 30")
+        lines(spark, folder, "l_orderkey", "l_partkey")
         .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat(F.lit("GCA_"), F.col("o_custkey").cast("string")).alias("genome_accession"),

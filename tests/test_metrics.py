@@ -11,26 +11,27 @@ from cultiva.plans import recommender as P
 
 
 def test_topk_of_two_rows(spark):
-    y, s = [[0, 1, 0], [1, 0, 1]], [[0.2, 0.9, 0.1], [0.8, 0.7, 0.6]]
-    rows = [(i, f"m{j}", y[i][j], s[i][j]) for i in range(2) for j in range(3)] + [(9, "m0", 0, 1.0)]
+    # First strain: true media at ranks 2 and 4 of 4. Second: at rank 1 of 4.
+    y, s = [[1, 0, 0, 1], [0, 0, 1, 0]], [[0.5, 0.6, 0.4, 0.3], [0.1, 0.2, 0.7, 0.0]]
+    rows = [(i, f"m{j}", y[i][j], s[i][j]) for i in range(2) for j in range(4)] + [(9, "m0", 0, 1.0)]
     df = spark.createDataFrame(rows, "bacdive_id int, medium_id string, y int, score double")
     got = P.model_benchmark(df, (1,)).first()
     assert got["n_eval"] == 2 and got["mean_true_media"] == 1.5
-    assert (got["hit_at_1"], got["mrr"], got["recall_at_1"], got["precision_at_1"]) == (1.0, 1.0, 0.75, 1.0)
+    assert (got["hit_at_1"], got["mrr"], got["recall_at_1"], got["precision_at_1"]) == (0.5, 0.75, 0.5, 0.5)
 
 
 def test_taxonomic_fallback(spark):
     strains = spark.createDataFrame(
-        [(1, 0, "G1", "F1"), (2, 0, "G1", "F1"), (3, 0, "G1", "F1"), (6, 0, "G2", "F2"), (7, 1, "G1", "F1"), (8, 1, None, None)],
+        [(i, 0, "Ga", "Fa") for i in range(11, 15)] + [(21, 0, "Gb", "Fb"), (31, 1, "Ga", "Fa"), (32, 1, "", None)],
         "bacdive_id int, fold int, genus string, family string",
     )
-    positives = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (6, "B")], "bacdive_id int, medium_id string")
+    positives = spark.createDataFrame([(11, "A"), (12, "A"), (13, "B"), (14, "B"), (21, "B")], "bacdive_id int, medium_id string")
     used, scores = M.taxonomy_scores(strains, positives, ["A", "B"])
     levels = {r["bacdive_id"]: (r["level"], r["taxon"]) for r in used.collect()}
-    assert levels[7] == ("genus", "G1") and levels[8] == ("global", "")
+    assert levels[31] == ("genus", "Ga") and levels[32] == ("global", "")
     got = {(r["fold"], r["level"], r["medium_id"]): r["score"] for r in scores.collect()}
-    assert (got[1, "genus", "A"], got[1, "genus", "B"]) == (1.0, 0.0)
-    assert (got[1, "global", "A"], got[1, "global", "B"]) == (0.75, 0.25)
+    assert (got[1, "genus", "A"], got[1, "genus", "B"]) == (0.5, 0.5)
+    assert (got[1, "global", "A"], got[1, "global", "B"]) == (0.4, 0.6)
 
 
 def brute_auc(y, s):
@@ -71,12 +72,12 @@ def diagnostics(spark, pairs):
 
 
 def test_class_diagnostics(spark):
-    true, pred = [0, 0, 1, 1, 2, 3], [0, 1, 1, 1, 2, 2]
+    true, pred = [0, 1, 1, 2, 2, 2, 3, 3], [0, 1, 3, 2, 2, 0, 3, 3]
     report, summary = diagnostics(spark, [(CLASSES[t], CLASSES[p]) for t, p in zip(true, pred)])
     matrix = [[r[f"pred_{c}"] for c in CLASSES] for r in report]
-    assert matrix == [[1, 1, 0, 0], [0, 2, 0, 0], [0, 0, 1, 0], [0, 0, 1, 0]]
-    assert summary["accuracy"] == pytest.approx(4 / 6, abs=1e-6)
-    assert summary["macro_f1"] == pytest.approx((2 / 3 + 0.8 + 2 / 3) / 4, abs=1e-6)
+    assert matrix == [[1, 0, 0, 0], [0, 1, 0, 1], [1, 0, 2, 0], [0, 0, 0, 2]]
+    assert summary["accuracy"] == pytest.approx(6 / 8, abs=1e-6)
+    assert summary["macro_f1"] == pytest.approx((2 / 3 + 2 / 3 + 0.8 + 0.8) / 4, abs=1e-6)
 
 
 def test_supported_and_all_class_f1_differ(spark):
