@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+GENOME_FOLDER = r"/genome_accession=([^/]+)/[^/]*$"
 GENOME_FILE = r"^(.*?)\.(?:fna|fa|fasta)(?:\.gz)?$"
 
 
@@ -27,13 +28,17 @@ def parse_fasta_records(records: DataFrame, text: str = "value") -> DataFrame:
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """One row per contig; the genome is the file name without its suffix.
+    """One row per contig.
 
-    Plain files are split across tasks at record starts; ``.gz`` files are
+    The genome is the partition folder that :func:`write_fasta` makes, else the file
+    name without its suffix. Plain files are split across tasks at record starts; ``.gz`` files are
     readable but not splittable.
     """
     records = spark.read.option("lineSep", "\n>").text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), GENOME_FILE, 1).alias("genome_accession"),
+        F.coalesce(
+            F.nullif(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), GENOME_FOLDER, 1)), F.lit("")),
+            F.regexp_extract(F.col("_metadata.file_name"), GENOME_FILE, 1),
+        ).alias("genome_accession"),
         "value",
     )
     return parse_fasta_records(records)

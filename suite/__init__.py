@@ -11,6 +11,7 @@ from suite import (  # noqa: F401  (importing registers the queries)
     embeddings,
     encoders,
     evaluation,
+    files,
     media,
     models,
     rules,

@@ -154,6 +154,12 @@ def hit_records_first_wins(spark, folder):
   'Pathway; ' || p_type || ' modules' AS category FROM part WHERE p_partkey % 7 <> 0""",
 )
 def module_flatfile(spark, folder):
+    rows = parse_modules(module_records(spark, folder))
+    return rows.withColumn("ko_list", F.array_join("ko_list", "|"))
+
+
+def module_records(spark, folder):
+    """Parts as records of a module flat file."""
     k, size = F.col("p_partkey"), F.col("p_size")
     profile = lambda n: F.concat(F.lit("K"), F.lpad(n.cast("string"), 5, "0"))
     definition = F.when(
@@ -164,5 +170,4 @@ def module_flatfile(spark, folder):
         F.lit("ENTRY       M"), F.lpad(k.cast("string"), 5, "0"), F.lit("   Pathway   Module\nNAME        "), "p_name", F.lit("\n"),
         definition, F.lit("CLASS       Pathway;\n            "), "p_type", F.lit(" modules\nORTHOLOGY   K99999\n"),
     )
-    rows = parse_modules(table(spark, folder, "part").select(record.alias("value")))
-    return rows.withColumn("ko_list", F.array_join("ko_list", "|"))
+    return table(spark, folder, "part").select(record.alias("value"))
