@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,33 +22,93 @@ CAPACITY = 4096
 SALTS = 256
 ENCODED_AT_ONCE = 20_000
 BLOCK_BYTES = 8 << 20
-REMEMBERED_WORDS = 200_000
+REMEMBERED_UNITS = 400_000
 
 
-def _encoder(content: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Encoder:
+    """The tokenizer of a process, with the ids of units it met first.
 
-    return Tokenizer.from_str(content)
+    The memory holds ``REMEMBERED_UNITS`` units, among them all frequent ones; later
+    ones are encoded block by block.
+    """
+
+    def __init__(self, content: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content)
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, units: list[bytes]) -> list[bytes]:
+        """Little-endian ids of distinct units."""
+        found = list(map(self.known.get, units))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for lo in range(0, len(missing), ENCODED_AT_ONCE):
+            some = missing[lo : lo + ENCODED_AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast([units[i].decode() for i in some], add_special_tokens=False)
+            for i, e in zip(some, encoded):
+                found[i] = array("I", e.ids).tobytes()
+        for i in missing[: max(0, REMEMBERED_UNITS - len(self.known))]:
+            self.known[units[i]] = found[i]
+        return found
+
+
+_ENCODERS: dict[int, _Encoder] = {}
+
+
+def _encoder(content: str) -> _Encoder:
+    key = hash(content)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = _Encoder(content)
+    return _ENCODERS[key]
+
+
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def encoding_units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(bytes, starts, ends, unit bounds of texts)``: parts that are encoded alone.
+
+    Words are cut where a letter or digit meets a stop sign, which is always the
+    edge of a piece, and A to Z are lower-cased, as the tokenizer does first. Words
+    with "<" stay as they are: they may hold special strings.
+    """
+    starts, ends, word_bounds = word_spans(data, bounds)
+    angle = np.concatenate([[0], np.cumsum(data == ord("<"))])
+    open_ = np.zeros(len(data) + 1, dtype=np.int8)
+    special = angle[ends] > angle[starts]
+    open_[starts[~special]] += 1
+    open_[ends[~special]] -= 1
+    free = np.cumsum(open_[:-1], dtype=np.int8).astype(bool)
+    small = data + ((data >= 65) & (data <= 90) & free).astype(np.uint8) * np.uint8(32)
+    # Latin letters of two bytes count as letters, but for the signs of times and division.
+    plain, stop = _PLAIN[data], _STOP[data]
+    ends_letter, lead = plain.copy(), plain.copy()
+    if len(data) > 1:
+        latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        ends_letter[1:] |= latin
+        lead[:-1] |= latin
+    cuts = np.zeros(len(data), dtype=bool)
+    cuts[1:] = (stop[1:] & ends_letter[:-1]) | (stop[:-1] & lead[1:])
+    at = np.flatnonzero(cuts & free)
+    word = np.searchsorted(starts, at, "right") - 1
+    at = at[at > starts[word]] if len(at) else at
+    starts = np.sort(np.concatenate([starts, at]), kind="stable")
+    return small, starts, np.sort(np.concatenate([ends, at]), kind="stable"), np.searchsorted(starts, bounds)
 
 
 def _pieces(
     batches: Iterator[pa.RecordBatch], text: str, key: str, model, capacity: int, end_id: int
 ) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(model.value)
-    known: dict[str, bytes] = {}
     for rows, data, bounds in text_blocks(batches, text, BLOCK_BYTES):
-        starts, ends, word_bounds = word_spans(data, bounds)
-        codes, distinct = coded(cut(data, starts, ends))
-        words = [w.decode() for w in distinct.to_pylist()]
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), ENCODED_AT_ONCE):
-            some = new[i : i + ENCODED_AT_ONCE]
-            for word, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        encoded = [known[w] for w in words]
+        small, starts, ends, word_bounds = encoding_units(data, bounds)
+        codes, distinct = coded(cut(small, starts, ends))
+        encoded = encoder.encode(distinct.to_pylist())
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
         first = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join(encoded), dtype="<u4")
@@ -85,9 +146,10 @@ def token_pieces(
 ) -> DataFrame:
     """``(key, piece, start, length, ids)``: the ids of every isolation text in pieces.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file on the driver whose splitting
-    never joins signs across white space, so that every distinct word of a block is
-    encoded once; the content is broadcast. ``end_id`` follows each text. Only texts
+    ``tokenizer`` is the path of a lower-casing ``tokenizers`` file on the driver whose
+    splitting never joins signs across white space or letters with stop signs, so
+    that every distinct unit of a block is encoded once (:func:`encoding_units`); the
+    content is broadcast. ``end_id`` follows each text. Only texts
     longer than ``capacity`` are cut; ``start`` is the number of ids before the
     piece, ``ids`` is binary (little-endian unsigned 32-bit). A null or empty text
     is one piece with the closing id. Repeated rows and null keys stay rows of their
