@@ -37,18 +37,20 @@ def stream_table(
 def incremental_sink(
     stream: DataFrame, key: Sequence[str], out_path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append the first row of every key to ``out_path`` until the input is used up.
+    """Append one row of every new key to ``out_path`` until the input is used up.
 
-    The checkpoint records which files are done, the file sink commits every
-    batch once, and the key state drops rows seen in an earlier batch or run.
-    ``checkpoint`` must be on storage all executors share.
+    The checkpoint records which files are done. Each batch is held against the keys
+    that the sink has, so no state grows with the stream and a batch that runs again
+    after a failure adds nothing twice. ``checkpoint`` must be on storage all
+    executors share.
     """
+
+    def append(batch: DataFrame, _: int) -> None:
+        append_new(batch, key, out_path)
+
     return (
-        stream.dropDuplicates(list(key))
-        .writeStream.format("parquet")
-        .option("path", out_path)
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

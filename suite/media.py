@@ -266,10 +266,11 @@ recipes AS (
 """
 
 
-def recipes(spark, folder):
+def recipes(spark, folder, medium="p_brand"):
+    """Parts as the compounds of the medium that ``medium`` names."""
     key = F.col("p_partkey")
     return table(spark, folder, "part").select(
-        F.col("p_brand").alias("medium_id"),
+        F.col(medium).alias("medium_id"),
         F.when(key % 9 == 0, "NaCl").when(key % 9 == 1, "Sodium chloride").when(key % 9 == 2, "NaCl2")
         .otherwise(F.col("p_name")).alias("compound"),
         F.when(key % 4 != 0, F.col("p_size") / 2).alias("amount"),

@@ -156,7 +156,7 @@ def production_models_top_media(spark, folder):
 def recommend_with_recipes(spark, folder):
     data, media = recommender(spark, folder)
     models = P.train_production(data, media, SMALL)
-    own_recipes = recipes(spark, folder).withColumn("medium_id", F.lit(media[0]) if media else F.lit(""))
+    own_recipes = recipes(spark, folder, "p_type")
     return rounded(
         recommend_media(
             features(spark, folder), FEATURES, models, media_names(spark, folder), own_recipes, 3, "bacdive_id"
