@@ -13,7 +13,7 @@ from cultiva.llm.kernels import arrow_map, mixed
 
 SEGMENT = 1 << 16
 _ODD = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-HELD_HASHES = 1 << 22
+HELD_HASHES = 1 << 20
 
 
 def cells(h: np.ndarray, row: int, log_width: int) -> np.ndarray:

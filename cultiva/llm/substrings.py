@@ -8,7 +8,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ ANCHOR = 8
 DEPTH = 3
 LOG_ANCHOR_CELLS = 26
 LOG_WINDOW_CELLS = 27
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 _PLACE_BITS = np.uint64(28)
 
 
@@ -94,28 +93,19 @@ def _estimated(windows: _Windows, anchors: RepeatedCells, counts: RepeatedCells)
     return some[counts.repeated(windows.h[some])]
 
 
-def _text_hash(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw)
-
-
-def _text_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    raw = data.tobytes()
-    return np.array([_text_hash(raw[a:b]) for a, b in zip(bounds, bounds[1:])], dtype=np.uint64)
-
-
 def _occurrences(batches, text: str, width: int, anchors, counts) -> Iterator[pa.RecordBatch]:
     """Distinct estimated windows of a block: hash, occurrences, and where the first one is."""
-    for _, data, bounds, windows in _blocks(batches, text, width):
+    for rows, _, _, windows in _blocks(batches, text, width):
         some = _estimated(windows, anchors.value, counts.value)
         h, first, n = np.unique(windows.h[some], return_index=True, return_counts=True)
         where = some[first]
-        texts = _text_hashes(data, bounds)[windows.text[where]]
+        texts = rows.column("_text").to_numpy()[windows.text[where]]
         place = windows.at[where] - windows.word_bounds[windows.text[where]]
         yield pa.record_batch(
             {
                 "h": pa.array(to_signed(h)),
                 "n": pa.array(np.minimum(n, 2), pa.int32()),
-                "_text": pa.array(to_signed(texts)),
+                "_text": pa.array(texts),
                 "place": pa.array(place, pa.int32()),
             }
         )
@@ -156,13 +146,6 @@ def _remove(batches, text: str, width: int, anchors, counts) -> Iterator[pa.Reco
         yield from out.combine_chunks().to_batches()
 
 
-def _with_text_hash(batches, text: str) -> Iterator[pa.RecordBatch]:
-    for rows, data, bounds in text_blocks(batches, text, BLOCK_BYTES):
-        yield from rows.append_column(
-            "_text", pa.array(to_signed(_text_hashes(data, bounds)))
-        ).combine_chunks().to_batches()
-
-
 def remove_repeated_windows(
     samples: DataFrame,
     key: str = "bacdive_id",
@@ -198,7 +181,7 @@ def remove_repeated_windows(
     spark = samples.sparkSession
     chosen = samples.select(key, text)
     # Texts shorter than a window have none, but their rows come back.
-    texts = chosen.select(text)
+    texts = chosen.select(text, F.xxhash64(text).alias("_text"))
     anchors = spark.sparkContext.broadcast(
         merged_sketch(texts, partial(_anchor_hashes, text=text, width=width), DEPTH, log_anchor_cells)
     )
@@ -219,8 +202,9 @@ def remove_repeated_windows(
     )
     false = written(single.groupBy("_text").agg(F.collect_list("place").alias("alone")))
     kind = chosen.schema[key].dataType.simpleString()
-    named = arrow_map(chosen, partial(_with_text_hash, text=text), f"`{key}` {kind}, `{text}` string, _text bigint")
-    judged = named.join(false, "_text", "left").select(key, text, "alone")
+    judged = (
+        chosen.withColumn("_text", F.xxhash64(text)).join(false, "_text", "left").select(key, text, "alone")
+    )
     return arrow_map(
         judged,
         partial(_remove, text=text, width=width, anchors=anchors, counts=counts),
