@@ -26,6 +26,7 @@ CANDIDATES = 48
 FAR_EDGES = 4
 ALPHA = 1.2
 BEAM = 24
+FRONT_NEIGHBOURS = 1 << 19
 AUDIT = 256
 LEAST_RECALL = 0.9
 
@@ -148,10 +149,17 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(np.arange(n), pruned.shape[1])
     keep = pruned.ravel() >= 0
     a, b = start[keep], pruned.ravel()[keep]
+    # Edges back, of which a node that many have chosen keeps the closest.
+    closeness = np.einsum("id,id->i", x[a], x[b])
+    order = np.lexsort((-closeness, b))
+    turn = np.arange(len(order)) - np.searchsorted(b[order], b[order])
+    back = order[turn < DEGREE]
     # Far edges, fixed by place: a tight group of copies stays reachable.
     far = (mixed(np.arange(n * FAR_EDGES, dtype=np.uint64)) % np.uint64(n)).astype(np.int64)
-    a = np.concatenate([a, b, np.repeat(np.arange(n), FAR_EDGES)])
-    b = np.concatenate([b, start[keep], far])
+    a, b = (
+        np.concatenate([a, b[back], np.repeat(np.arange(n), FAR_EDGES)]),
+        np.concatenate([b, a[back], far]),
+    )
     pair = np.unique(a * n + b)
     a, b = pair // n, pair % n
     return a[a != b], b[a != b]
@@ -231,21 +239,23 @@ def search(
         while len(front_q):
             out_q.append(front_q + lo)
             out_n.append(front_n)
-            others = table[front_n]
-            who = np.repeat(front_q, width)
-            pair = np.unique(who * (n + 1) + others.ravel())
-            who, others = pair // (n + 1), pair % (n + 1)
-            new = ~seen[who, others]
-            who, others = who[new], others[new]
-            seen[who, others] = True
-            similar = np.concatenate(
-                [
-                    np.einsum("id,id->i", q[who[i : i + 65536]], x[others[i : i + 65536]])
-                    for i in range(0, len(who), 65536)
-                ]
-                or [np.zeros(0)]
-            )
-            front_q, front_n = who[similar >= threshold], others[similar >= threshold]
+            next_q, next_n = [], []
+            # A slice of the front at a time: its neighbours fit in a few megabytes.
+            step = max(1, FRONT_NEIGHBOURS // width)
+            for i in range(0, len(front_q), step):
+                who = np.repeat(front_q[i : i + step], width)
+                pair = np.unique(who * (n + 1) + table[front_n[i : i + step]].ravel())
+                who, others = pair // (n + 1), pair % (n + 1)
+                new = ~seen[who, others]
+                who, others = who[new], others[new]
+                seen[who, others] = True
+                for k in range(0, len(who), 16384):
+                    w, o = who[k : k + 16384], others[k : k + 16384]
+                    close = np.einsum("id,id->i", q[w], x[o]) >= threshold
+                    next_q.append(w[close])
+                    next_n.append(o[close])
+            empty = np.zeros(0, dtype=np.int64)
+            front_q, front_n = np.concatenate([empty, *next_q]), np.concatenate([empty, *next_n])
     if not out_q:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(out_q), np.concatenate(out_n)
