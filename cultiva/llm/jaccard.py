@@ -7,12 +7,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cultiva.llm.kernels import (
-    arrow_map, binary_column, carried, coded, cut, gather_ranges, hashed, mixed, owners, sums, text_blocks,
-    to_signed, window_hashes, word_spans,
+    arrow_map, binary_column, carried, coded, cut, flat, gather_ranges, hashed, mixed, owners, text_blocks, to_signed,
+    window_hashes, word_spans,
 )
 from cultiva.llm.sketches import merged_sketch
 from cultiva.llm.tables import components, written
@@ -24,11 +25,15 @@ BLOCK_BYTES = 4 << 20
 _SLAB = 1 << 12
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, bounds)``: the distinct n-word shingles of every text, sorted by hash.
+def shingle_sets(
+    data: np.ndarray, bounds: np.ndarray, n: int, frequency: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, bounds)``: the distinct n-word shingles of every text, in order.
 
     A to Z are lower-cased. A text with fewer than ``n`` words has its whole
-    sequence as the only shingle, one without words none.
+    sequence as the only shingle, one without words none. The order is the same for
+    all texts: rare hash buckets first (by powers of two of ``frequency``), then by
+    hash; without frequencies by hash alone.
     """
     capital = (data >= 65) & (data <= 90)
     small = data + capital.astype(np.uint8) * np.uint8(32)
@@ -38,19 +43,31 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarr
     n_words = np.diff(word_bounds)
     h, text = [], []
     for width in range(1, n + 1):
-        all_windows = window_hashes(words, width)
         if width < n:
             # Whole sequences of exactly this many words.
             chosen = np.flatnonzero(n_words == width)
             at = word_bounds[chosen]
+            if len(at) == 0:
+                continue
+            windows = window_hashes(words, width)
         else:
-            end = word_bounds[1:][owners(word_bounds)]
-            at = np.flatnonzero(np.arange(len(all_windows)) + n <= end[: len(all_windows)])
-            chosen = owners(word_bounds)[at]
-        h.append(mixed(all_windows[at] + np.uint64(width)))
+            windows = window_hashes(words, n)
+            owner = owners(word_bounds)
+            at = np.flatnonzero(np.arange(len(windows)) + n <= word_bounds[1:][owner[: len(windows)]])
+            chosen = owner[at]
+        h.append(mixed(windows[at] + np.uint64(width)))
         text.append(chosen)
     h, text = np.concatenate(h), np.concatenate(text)
-    order = np.lexsort((h, text))
+    # One sort key: text, rank of the bucket, leading bits of the hash.
+    bits = max(1, int(len(bounds)).bit_length())
+    rank = np.uint64(0)
+    if frequency is not None:
+        rank = np.log2(frequency + 1)[(h >> np.uint64(64 - LOG_BUCKETS)).astype(np.int64)] * 3
+        rank = np.minimum(rank, 127).astype(np.uint64) << np.uint64(57 - bits)
+    key = text.astype(np.uint64) << np.uint64(64 - bits) | rank | h >> np.uint64(bits + 7)
+    order = np.argsort(key)
+    if ((np.diff(key[order]) == 0) & (np.diff(h[order]) != 0)).any():
+        order = np.lexsort((h, key))  # leading bits of two shingles agree: decide by all
     h, text = h[order], text[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -63,12 +80,6 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
-def ordered_sets(h: np.ndarray, bounds: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The sets in the global order: rare buckets first, then by hash."""
-    rank = frequency[(h >> np.uint64(64 - LOG_BUCKETS)).astype(np.int64)]
-    return h[np.lexsort((h, rank, owners(bounds)))]
-
-
 def _frequencies(batches, text: str, n: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << LOG_BUCKETS, dtype=np.int64)
     for _, data, bounds in text_blocks(batches, text, BLOCK_BYTES):
@@ -113,8 +124,7 @@ class _Sets:
     """Ordered shingle sets of a block, with what the join needs of them."""
 
     def __init__(self, data, bounds, n: int, percent: int, frequency: np.ndarray):
-        h, self.bounds = shingle_sets(data, bounds, n)
-        self.h = ordered_sets(h, self.bounds, frequency)
+        self.h, self.bounds = shingle_sets(data, bounds, n, frequency)
         self.sizes = np.diff(self.bounds)
         self.prefix = np.where(self.sizes > 0, self.sizes - least_overlap(self.sizes, percent) + 1, 0)
         place = np.arange(len(self.h)) - self.bounds[:-1][owners(self.bounds)]
@@ -124,12 +134,6 @@ class _Sets:
             _wrapped_sums(weight, self.bounds[:-1], self.prefix) * np.uint64(3) + self.sizes.astype(np.uint64)
         )
 
-    def prefixes(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(tokens, places, lengths)`` of the prefixes of some texts."""
-        lengths = self.prefix[of]
-        at = gather_ranges(self.bounds[:-1][of], lengths)
-        return self.h[at], gather_ranges(np.zeros(len(of), dtype=np.int64), lengths), lengths
-
     def bitmaps(self) -> np.ndarray:
         words = np.zeros((len(self.sizes), _BITS), dtype=bool)
         words[owners(self.bounds), ((self.h >> np.uint64(20)) & np.uint64(_BITS - 1)).astype(np.int64)] = True
@@ -160,58 +164,82 @@ def _new(values: np.ndarray, use: np.ndarray, seen: set) -> np.ndarray:
     return use[first[~known]]
 
 
-def _prefix_hashes(batches, text, n, percent, frequency) -> Iterator[np.ndarray]:
-    groups: set = set()
-    classes: set = set()
-    for _, sets in _blocks(batches, text, n, percent, frequency.value):
-        some = np.flatnonzero(sets.sizes > 0)
-        yield sets.prefixes(_new(sets.grp, some, groups))[0]
-        yield _self_token(sets.grp[_new(sets.cls, some, classes)])
-
-
-def _members(batches, text, n, percent, frequency, shared, drop) -> Iterator[pa.RecordBatch]:
-    """One row per text; the first of a class in a task also has tokens and bitmap."""
+def _members(batches, text, n, percent, frequency, drop) -> Iterator[pa.RecordBatch]:
+    """One row per text; the first of a class here has a bitmap, of a group its prefix."""
     groups: set = set()
     classes: set = set()
     for rows, sets in _blocks(batches, text, n, percent, frequency.value):
         some = np.flatnonzero(sets.sizes > 0)
         first = _new(sets.cls, some, classes)
         lead = _new(sets.grp, some, groups)
-        tokens, places, lengths = sets.prefixes(lead)
-        keep = shared.value.repeated(tokens)
-        owner = np.concatenate([np.repeat(lead, lengths)[keep], first])
-        alone = _self_token(sets.grp[first])
-        tokens = np.concatenate([tokens[keep], alone])
-        # Place -1 marks the bucket of the group itself.
-        places = np.concatenate([places[keep], np.full(len(first), -1)])
-        meets = np.concatenate([np.ones(int(keep.sum()), dtype=bool), shared.value.repeated(alone)])
-        owner, tokens, places = owner[meets], tokens[meets], places[meets]
-        order = np.argsort(owner, kind="stable")
-        owner, tokens, places = owner[order], tokens[order], places[order]
-        edges = np.searchsorted(owner, np.arange(len(rows) + 1))
-        bitmaps = sets.bitmaps()
+        lengths = np.zeros(len(rows), dtype=np.int64)
+        lengths[lead] = sets.prefix[lead]
+        tokens = sets.h[gather_ranges(sets.bounds[:-1], lengths)]
+        empty = sets.sizes == 0
         in_use = np.zeros(len(rows), dtype=bool)
-        in_use[owner] = True
         in_use[first] = True
-        empty = sets.sizes == 0
+        bitmaps = sets.bitmaps()
         out = rows.drop_columns(drop)
         out = out.append_column("n_shingles", pa.array(sets.sizes, pa.int64()))
         out = out.append_column("cls", pa.array(to_signed(sets.cls), pa.int64(), mask=empty))
         out = out.append_column("grp", pa.array(to_signed(sets.grp), pa.int64(), mask=empty))
-        out = out.append_column("tokens", _lists(to_signed(tokens), edges, pa.int64()))
-        out = out.append_column("places", _lists(places.astype(np.int32), edges, pa.int32()))
+        out = out.append_column(
+            "prefix", binary_column(tokens.view(np.uint8), np.concatenate([[0], np.cumsum(lengths)]) * 8)
+        )
         out = out.append_column(
             "bitmap", pa.array([b.tobytes() if u else None for b, u in zip(bitmaps, in_use)], pa.binary())
         )
         yield from out.combine_chunks().to_batches()
 
 
-def _lists(values: np.ndarray, edges: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of a batch of members, and how many each has."""
+    lengths = pc.binary_length(batch.column("prefix")).to_numpy().astype(np.int64) // 8
+    return np.frombuffer(flat(batch.column("prefix")).tobytes(), dtype=np.uint64), lengths
+
+
+def _prefix_hashes(batches) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield _prefixes(batch)[0]
+        # The first of a class meets its group in a bucket of the group's own.
+        own = batch.filter(pc.is_valid(batch.column("bitmap"))).column("grp")
+        yield _self_token(own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _bucket_rows(batches, shared) -> Iterator[pa.RecordBatch]:
+    """``(token, cls, grp, size, place)`` of tokens that more than one group seems to have.
+
+    Place -1 marks the bucket of the group itself.
+    """
+    for batch in batches:
+        tokens, lengths = _prefixes(batch)
+        keep = np.flatnonzero(shared.value.repeated(tokens))
+        owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
+        place = gather_ranges(np.zeros(len(lengths), dtype=np.int64), lengths)[keep]
+        first = np.flatnonzero(pc.is_valid(batch.column("bitmap")).to_numpy(zero_copy_only=False))
+        grp = pc.fill_null(batch.column("grp"), 0).to_numpy().view(np.uint64)
+        alone = _self_token(grp[first])
+        meets = shared.value.repeated(alone)
+        owner = np.concatenate([owner, first[meets]])
+        taken = pa.array(owner)
+        yield pa.record_batch(
+            {
+                "token": pa.array(to_signed(np.concatenate([tokens[keep], alone[meets]]))),
+                "cls": batch.column("cls").take(taken),
+                "grp": batch.column("grp").take(taken),
+                "size": batch.column("n_shingles").take(taken),
+                "place": pa.array(np.concatenate([place, np.full(int(meets.sum()), -1)]), pa.int32()),
+            }
+        )
+
 
+def _bucket_runs(batches, columns, of=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole buckets, as arrays of ``columns``, from batches sorted by token.
 
-def _bucket_runs(batches, columns) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole buckets, as arrays of ``columns``, from batches sorted by token."""
+    ``of`` turns batches of whole buckets into what is yielded; by default into one
+    item per bucket of two rows or more.
+    """
+    of = of or _runs_of
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         tokens = batch.column("token").to_numpy()
@@ -222,22 +250,29 @@ def _bucket_runs(batches, columns) -> Iterator[tuple[np.ndarray, ...]]:
         if len(tokens) == 0:
             continue
         waiting.append(batch.slice(0, last))
-        yield from _runs_of(waiting, columns)
+        yield from of(waiting, columns)
         waiting = [batch.slice(last)]
     if waiting:
-        yield from _runs_of(waiting, columns)
+        yield from of(waiting, columns)
 
 
-def _runs_of(batches, columns):
+def _whole(batches, columns):
+    """``(arrays, cuts)`` of whole buckets side by side."""
     table = pa.Table.from_batches(batches).combine_chunks()
     if len(table) == 0:
-        return
+        return None
     tokens = table.column("token").to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-    arrays = [table.column(c).to_numpy() for c in columns]
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a > 1:
-            yield tuple(x[a:b] for x in arrays)
+    return [table.column(c).to_numpy() for c in columns], cuts
+
+
+def _runs_of(batches, columns):
+    whole = _whole(batches, columns)
+    if whole is not None:
+        arrays, cuts = whole
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                yield tuple(x[a:b] for x in arrays)
 
 
 def _may_link(size_a, place_a, size_b, place_b, percent: int) -> np.ndarray:
@@ -247,24 +282,38 @@ def _may_link(size_a, place_a, size_b, place_b, percent: int) -> np.ndarray:
     return room >= need
 
 
-PIVOTS = 3
-
-
 def _stars(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of every class of a bucket with a few pivots of it: linear in its rows."""
-    for cls, size, place in _bucket_runs(batches, ("cls", "size", "place")):
-        a, b = [], []
-        for turn in range(PIVOTS):
-            pivot = int(np.argmin(mixed(cls.view(np.uint64) + np.uint64(turn))))
-            ok = (cls != cls[pivot]) & _may_link(size, place, size[pivot], place[pivot], percent)
-            a.append(np.minimum(cls[ok], cls[pivot]))
-            b.append(np.maximum(cls[ok], cls[pivot]))
-        yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-
-def _rest(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that lie in different components and may still link."""
-    sent: set = set()
+    """Pairs of every class of a bucket with a pivot of it: linear in its rows."""
+    columns = ("cls", "size", "place")
+    for whole in _bucket_runs(batches, columns, lambda held, names: [_whole(held, names)]):
+        if whole is None:
+            continue
+        (cls, size, place), cuts = whole
+        order = mixed(cls.view(np.uint64))
+        least = np.repeat(np.minimum.reduceat(order, cuts[:-1]), np.diff(cuts))
+        # Equal classes have equal hashes, so the first of them stands for all.
+        chosen = np.flatnonzero(order == least)
+        bucket = np.searchsorted(cuts, chosen, "right") - 1
+        pivot = np.repeat(chosen[np.unique(bucket, return_index=True)[1]], np.diff(cuts))
+        ok = (cls != cls[pivot]) & _may_link(size, place, size[pivot], place[pivot], percent)
+        a, b = cls[ok], cls[pivot[ok]]
+        pair = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        yield pa.record_batch({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
+
+
+def _bound(bits, size, i, percent) -> tuple[np.ndarray, np.ndarray]:
+    """``(most shared shingles, least needed)`` of one set with others, by bitmaps."""
+    differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+    both = size + size[i]
+    return (both - differ) // 2, -(-percent * both // (100 + percent))
+
+
+def _rest(batches, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that lie in different components and may still link.
+
+    With ``nearest`` only the most promising partner of each class, else all.
+    """
+    a, b = [], []
     for cls, size, place, component, raw in _bucket_runs(batches, ("cls", "size", "place", "component", "bitmap")):
         names, number, n = np.unique(component, return_inverse=True, return_counts=True)
         if len(names) == 1:
@@ -274,17 +323,48 @@ def _rest(batches, percent: int) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(b"".join(raw[first]), dtype=np.uint64).reshape(len(first), -1)
         # Who is not in the largest component is held against everybody.
         for i in np.flatnonzero(number != n.argmax()):
-            ok = np.flatnonzero((number != number[i]) & _may_link(size, place, size[i], place[i], percent))
-            differ = np.bitwise_count(bits[ok] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            both = size[ok] + size[i]
-            ok = ok[(both - differ) // 2 >= -(-percent * both // (100 + percent))]
-            pairs = {(int(min(cls[i], c)), int(max(cls[i], c))) for c in cls[ok]} - sent
-            if pairs:
-                sent |= pairs
-                a, b = zip(*sorted(pairs))
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        if len(sent) > 1 << 20:
-            sent.clear()
+            most, need = _bound(bits, size, i, percent)
+            ok = (number != number[i]) & _may_link(size, place, size[i], place[i], percent) & (most >= need)
+            ok = np.flatnonzero(ok)
+            if nearest and len(ok):
+                ok = ok[[np.argmax(most[ok] - need[ok])]]
+            a.append(np.minimum(cls[ok], cls[i]))
+            b.append(np.maximum(cls[ok], cls[i]))
+        if len(a) > 4096:
+            yield _pairs(a, b)
+            a, b = [], []
+    if a:
+        yield _pairs(a, b)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    pair = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+    return pa.record_batch({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+
+
+def _promising(batches, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with both bitmaps: those that may link, and by how much."""
+    for batch in batches:
+        x, y = (
+            np.frombuffer(flat(batch.column(c)).tobytes(), dtype=np.uint64).reshape(len(batch), -1)
+            for c in ("x", "y")
+        )
+        both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+        most = (both - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+        spare = most - -(-percent * both // (100 + percent))
+        out = batch.select(["a", "b"]).append_column("spare", pa.array(spare, pa.int64()))
+        yield out.filter(pa.array(spare >= 0))
+
+
+def _class_hashes(batches) -> Iterator[np.ndarray]:
+    for batch in batches:
+        # Twice each, so that the sketch marks every one of them.
+        yield np.repeat(batch.column("cls").to_numpy().view(np.uint64), 2)
+
+
+def _marked(batches, wanted) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(wanted.value.repeated(batch.column("cls").to_numpy().view(np.uint64))))
 
 
 def _pair_hashes(batches) -> Iterator[np.ndarray]:
@@ -304,17 +384,27 @@ def _wanted_sets(batches, text, n, percent, frequency, wanted) -> Iterator[pa.Re
         yield pa.record_batch(
             {
                 "cls": pa.array(to_signed(sets.cls[some])),
-                "tokens": binary_column(tokens.view(np.uint8), np.concatenate([[0], np.cumsum(lengths)]) * 8),
+                "tokens": binary_column(
+                    # Six bytes tell the shingles of two texts apart.
+                    np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).ravel(),
+                    np.concatenate([[0], np.cumsum(lengths)]) * 6,
+                ),
             }
         )
 
 
+def _six(value) -> np.ndarray:
+    raw = np.frombuffer(value.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(raw), 8), dtype=np.uint8)
+    whole[:, :6] = raw
+    return whole.view(np.uint64).ravel()
+
+
 def _verified(batches, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x"), batch.column("y")):
-            x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-            y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            x, y = _six(x), _six(y)
             both = np.sort(np.concatenate([x, y]))
             shared = int((both[1:] == both[:-1]).sum())
             keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -331,14 +421,19 @@ class _Join:
         self.frequency = context.broadcast(bucket_frequencies(texts, text, n))
         self.common = {"text": text, "n": n, "percent": percent, "frequency": self.frequency}
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the unique class pairs that link, by their whole sets."""
-        wanted = self.context.broadcast(merged_sketch(pairs, _pair_hashes, 2, LOG_WANTED_CELLS))
-        sets = written(
+    def keep_sets(self, classes: DataFrame) -> None:
+        """Write the whole sets of ``classes``, a table of unique ``cls``."""
+        wanted = self.context.broadcast(merged_sketch(classes, _class_hashes, 2, LOG_WANTED_CELLS))
+        self.sets = written(
             arrow_map(self.texts, partial(_wanted_sets, wanted=wanted, **self.common), "cls bigint, tokens binary")
             .groupBy("cls")
             .agg(F.min("tokens").alias("tokens"))
         )
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the unique class pairs that link, by their whole sets."""
+        wanted = self.context.broadcast(merged_sketch(pairs, _pair_hashes, 2, LOG_WANTED_CELLS))
+        sets = arrow_map(self.sets, partial(_marked, wanted=wanted), "cls bigint, tokens binary")
         left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
         return written(
@@ -374,11 +469,12 @@ def jaccard_components(
     hash buckets first, and classes with the same prefix and size form a group; by
     the prefix principle only groups that share a prefix token can link. A count-min
     sketch over prefix tokens drops those that one group alone has. In the bucket of
-    a token, groups that pass the length and position filters are paired with a few
-    pivots, members are expanded and verified on whole sets, and components grow.
-    Every other pair of a bucket is then held only against classes of other
-    components: a bitmap of each set bounds the shared shingles from above, and what
-    passes is verified as well. A pair inside one component can change nothing, so
+    a token, groups that pass the length and position filters are expanded to their
+    members. Each is paired with a pivot of the bucket, the most promising pair of
+    each is verified on whole sets, and components grow. Only pairs across
+    components are of interest then: first the nearest one of each member, last all
+    of them. A bitmap of each set bounds the shared shingles from above, so that what
+    cannot link is not verified. A pair inside one component can change nothing, so
     the components are exact, and a group of thousands of near copies costs its rows
     rather than its pairs.
 
@@ -389,57 +485,85 @@ def jaccard_components(
     """
     chosen, fields, drop = carried(samples, key, text, carry)
     join = _Join(chosen.select(text), text, ngram, percent)
-    shared = join.context.broadcast(
-        merged_sketch(join.texts, partial(_prefix_hashes, **join.common), 2, LOG_TOKEN_CELLS)
-    )
     members = written(
         arrow_map(
             chosen,
-            partial(_members, shared=shared, drop=drop, **join.common),
-            f"{fields}, n_shingles bigint, cls bigint, grp bigint, tokens array<bigint>, places array<int>, "
-            "bitmap binary",
+            partial(_members, drop=drop, **join.common),
+            f"{fields}, n_shingles bigint, cls bigint, grp bigint, prefix binary, bitmap binary",
+        )
+    )
+    heads = members.filter("bitmap is not null or length(prefix) > 0")
+    shared = join.context.broadcast(
+        merged_sketch(heads.select("prefix", "bitmap", "grp"), _prefix_hashes, 2, LOG_TOKEN_CELLS)
+    )
+    rows = written(
+        arrow_map(
+            heads.select("cls", "grp", "n_shingles", "prefix", "bitmap"),
+            partial(_bucket_rows, shared=shared),
+            "token bigint, cls bigint, grp bigint, size bigint, place int",
         )
     )
-    rows = members.filter(F.size("tokens") > 0).select(
-        "cls", "grp", F.col("n_shingles").alias("size"), F.explode(F.arrays_zip("tokens", "places")).alias("_t")
+    known = written(
+        heads.filter("bitmap is not null")
+        .groupBy("cls")
+        .agg(F.min("grp").alias("grp"), F.min("n_shingles").alias("size"), F.min("bitmap").alias("bitmap"))
+    )
+    # Groups of the buckets, expanded to all their classes; buckets of one class go.
+    expanded = rows.select("token", "grp", "place").distinct().join(known.select("cls", "grp", "size"), "grp")
+    met = written(
+        expanded.join(
+            expanded.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter(
+                "_low < _high"
+            ).select("token"),
+            "token",
+        )
     )
-    rows = rows.select(F.col("_t.tokens").alias("token"), "cls", "grp", "size", F.col("_t.places").alias("place"))
+    join.keep_sets(met.select("cls").distinct())
+
     stars = arrow_map(
-        rows.select("token", "cls", "size", "place").repartition("token").sortWithinPartitions("token"),
+        met.select("token", "cls", "size", "place").repartition("token").sortWithinPartitions("token"),
         partial(_stars, percent=percent),
         "a bigint, b bigint",
     ).distinct()
-    links = join.verified(written(stars))
-
-    # What is left: buckets whose classes lie in more than one component.
-    found = written(components(links))
-    known = written(
-        members.filter(F.col("bitmap").isNotNull())
-        .groupBy("cls")
-        .agg(F.min("grp").alias("grp"), F.min("n_shingles").alias("size"), F.min("bitmap").alias("bitmap"))
+    bitmaps = known.select("cls", "size", "bitmap")
+    left = bitmaps.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("x"))
+    right = bitmaps.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("y"))
+    promising = written(
+        arrow_map(
+            stars.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y"),
+            partial(_promising, percent=percent),
+            "a bigint, b bigint, spare bigint",
+        )
     )
-    labelled = known.select("cls", "grp", "size").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "cls"))
-    # Groups of the buckets, expanded to all their classes.
-    expanded = written(rows.select("token", "grp", "place").distinct().join(labelled, "grp"))
-    unresolved = (
-        expanded.groupBy("token")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        .filter("_low < _high")
-        .select("token")
+    # The most promising pivot of every class is verified first.
+    ends = promising.select(F.col("a").alias("cls"), "a", "b", "spare").unionByName(
+        promising.select(F.col("b").alias("cls"), "a", "b", "spare")
     )
-    rest = written(
-        arrow_map(
-            expanded.join(unresolved, "token")
+    best = ends.groupBy("cls").agg(F.max(F.struct("spare", "a", "b")).alias("_p")).select("_p.a", "_p.b")
+    tried = written(best.distinct())
+    links = join.verified(tried)
+    for nearest in (True, False):
+        # What is left: buckets whose classes lie in more than one component.
+        found = written(components(links)).withColumnRenamed("node", "cls")
+        labelled = met.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        open_ = (
+            labelled.groupBy("token")
+            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+            .filter("_low < _high")
+            .select("token")
+        )
+        rest = arrow_map(
+            labelled.join(open_, "token")
             .join(known.select("cls", "bitmap"), "cls")
             .select("token", "cls", "size", "place", "component", "bitmap")
             .repartition("token")
             .sortWithinPartitions("token"),
-            partial(_rest, percent=percent),
+            partial(_rest, percent=percent, nearest=nearest),
             "a bigint, b bigint",
         ).distinct()
-    )
-    links = links.unionByName(join.verified(rest))
+        fresh = written(rest.join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(join.verified(fresh))
+        tried = tried.unionByName(fresh)
     of_class = components(links).withColumnRenamed("node", "cls")
     kept = [key, *[c for c in carry if c != key]]
     named = members.select(*kept, "n_shingles", "cls").join(of_class, "cls", "left")
