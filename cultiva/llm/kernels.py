@@ -7,6 +7,7 @@ never with a loop over characters.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,8 +24,18 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 NEWLINE = 10
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole long texts."""
+    """``mapInArrow`` with batches small enough for whole long texts.
+
+    Workers get this package's folder on their path, wherever the driver was started.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS_PER_BATCH))
     return df.mapInArrow(function, schema)
 
