@@ -21,6 +21,9 @@ from cultiva.llm.tables import written
 
 TOKENIZER = "word_bpe_49k.json"
 WORD = r"[^\x20\x09-\x0D]"
+# Near copies share this percentage of their shingles of so many words.
+SHINGLE_WORDS = 5
+SHINGLE_PERCENT = 80
 
 
 def _samples(docs: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     similar to nothing and stay.
     """
     rows = _samples(docs).withColumn("_row", F.xxhash64(F.col("bacdive_id").cast("string"), "iso_sample_text"))
-    found = written(jaccard_components(rows, carry=["_row"]))
+    found = written(jaccard_components(rows, ngram=SHINGLE_WORDS, percent=SHINGLE_PERCENT, carry=["_row"]))
     order = F.struct(F.col("bacdive_id").isNull(), F.col("bacdive_id"), F.col("_row"))
     first = found.filter("cluster is not null").groupBy("cluster").agg(F.min(order)["_row"].alias("_row"))
     alone = found.filter("cluster is null").select("_row")

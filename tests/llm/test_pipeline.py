@@ -92,3 +92,20 @@ def test_clashing_columns(spark, stages):
     out = corpus_pipeline.quality_rules(spark, docs, FOLDER)
     out = corpus_pipeline.near_duplicates(spark, corpus_pipeline.line_dedup(spark, out, FOLDER), FOLDER)
     assert out.columns == docs.columns and {r["kept"] for r in out.collect()} == {"x"}
+
+
+def test_near_copies_at_five_words_and_eighty_percent(spark):
+    # One passage replaced: similarities of 0.70 to 0.90, among them 0.80 to 0.85.
+    base = [f"w{i}" for i in range(100)]
+    texts = {0: base}
+    for i, cut in enumerate([2, 4, 5, 6, 7, 8, 9, 10, 12, 14]):
+        own = [f"x{i}y{j}" for j in range(200)]
+        texts[100 + i] = [f"{w}v{i}" for w in base]
+        texts[i + 1] = [*texts[100 + i][:40], *own[:cut], *texts[100 + i][40 + cut :]]
+    sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in texts.items()}
+    near = {k: len(s & sets[99 + k]) / len(s | sets[99 + k]) for k, s in sets.items() if 0 < k < 100}
+    assert any(0.80 <= v < 0.85 for v in near.values()) and any(v < 0.80 for v in near.values())
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()}
+    gone = {99 + k for k, v in near.items() if v >= 0.80}
+    assert kept == set(texts) - gone
