@@ -38,6 +38,18 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Words before " at " and a domain that are prose, not the local part of an address.
+PROSE_BEFORE_AT = (
+    "a accessed accessible and apply archived are arrived as at available based be been begin best browse "
+    "buy call check click contact data deposited described details directly discussed documentation documented "
+    "download downloaded email employed everyone example explained find for found free freely get given go "
+    "guidelines had has have help here hosted how in info information instructions is it items join just kept "
+    "learn link links listed live located look looked looking looks mail maintained me meet more not now obtained "
+    "of on one online only or order ordered out page pages people posted presented product products provided "
+    "published read reached register registered released review reviews reported resources search see seen sell "
+    "shop shown site sold staff start started stored story submitted team that the them there these this those "
+    "to today up us viewed visit was watch we website were which with work worked working works write you"
+).split()
 # --- end of fixed values ------------------------------------------------------
 
 # Full-width forms of ASCII, and the ten digits of other scripts.
@@ -52,15 +64,30 @@ _SPELLED_RUN = re.compile(
 _ITEM = re.compile(rf"plus|{_WORD}|[0-9]", re.IGNORECASE)
 # A run shorter than this is prose, not a number.
 LEAST_SPELLED = 4
+# What every run has: the end of a digit word, a separator and another word or digit.
+_LAST = "".join(sorted({w[-1] for w in DIGIT_WORDS}))
+_SPELLED_HINT = re.compile(rf"(?<=[{_LAST}])(?:[ ]|[ ]?-[ ]?|,[ ])(?:{_WORD}|[0-9])", re.IGNORECASE)
+
+_HIDDEN_DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]+dot[ ]+)"
+# Dotted chains of four parts or more, spelled in part: a part is up to three digits.
+_PART_ITEM = rf"(?:{_WORD}|[0-9])"
+_SPELLED_PART = rf"(?:[0-9]{{1,3}}|{_PART_ITEM}(?:(?:[ ]|[ ]?-[ ]?|,[ ]){_PART_ITEM}){{0,2}})(?!\w)"
+_CHAIN_DOT = rf"(?:{_HIDDEN_DOT}|\.)"
+_SPELLED_CHAIN = re.compile(rf"(?<![\w.]){_SPELLED_PART}(?:{_CHAIN_DOT}{_SPELLED_PART}){{3,}}", re.IGNORECASE)
+_CHAIN_HINT = re.compile(rf"(?<=[{_LAST}0-9]){_CHAIN_DOT}{_PART_ITEM}", re.IGNORECASE)
+_CHAIN_ITEM = re.compile(rf"{_CHAIN_DOT}|{_WORD}|[0-9]", re.IGNORECASE)
 
 _AT = re.compile(
     r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?"
-    r"|(?<=[A-Za-z0-9])[ ]+at[ ]+(?=[A-Za-z0-9-]+(?:[ ]+dot[ ]+|[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?)[A-Za-z0-9])",
+    rf"|(?<=[A-Za-z0-9])[ ]+at[ ]+(?=[A-Za-z0-9-]+{_HIDDEN_DOT}[A-Za-z0-9])"
+    # Before a plain domain, what stands on the left decides: see _at.
+    r"|(?<=[A-Za-z0-9])[ ]+at[ ]+"
+    r"(?=(?!www\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?-i:[a-z]{2,}|[A-Z]{2,})(?![\w/@-]|\.\w))",
     re.IGNORECASE,
 )
-_DOT = re.compile(
-    r"(?<=[A-Za-z0-9])(?:[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]+dot[ ]+)(?=[A-Za-z0-9])", re.IGNORECASE
-)
+_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_HIDDEN_DOT}(?=[A-Za-z0-9])", re.IGNORECASE)
+_AT_PLAIN = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9]")
+_PROSE = frozenset(PROSE_BEFORE_AT)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -194,6 +221,26 @@ def _spelled(match: re.Match) -> str | None:
     return ("+" if items[0].lower() == "plus" else "") + "".join(digits)
 
 
+def _chain(match: re.Match) -> str | None:
+    items = _CHAIN_ITEM.findall(match.group())
+    # Digits with plain dots are nothing to undo.
+    return fresh if (fresh := "".join(_chain_item(i) for i in items)) != match.group() else None
+
+
+def _chain_item(item: str) -> str:
+    return item if item.isdigit() else DIGIT_WORDS.get(item.lower(), ".")
+
+
+def _at(match: re.Match) -> str | None:
+    """``@``, but for a bare "at" between prose and a plain domain."""
+    text, start = match.string, match.start()
+    if match.group().strip(" ").lower() != "at" or not _AT_PLAIN.match(text, match.end()):
+        return "@"
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    return None if text[start : match.start()].lower() in _PROSE else "@"
+
+
 def deobfuscated(text: str) -> Mapped | None:
     """The text with look-alikes, spelled digits and at/dot disguises undone.
 
@@ -203,11 +250,13 @@ def deobfuscated(text: str) -> Mapped | None:
     if not text.isascii() and _SIGN.search(text):
         steps.append((_SIGN, lambda m: HOMOGLYPHS.get(m.group(), "")))
     mapped = Mapped(text)
-    steps += [(_SPELLED_RUN, _spelled), (_AT, lambda m: "@"), (_DOT, lambda m: ".")]
+    steps += [(_SPELLED_CHAIN, _chain), (_SPELLED_RUN, _spelled), (_AT, _at), (_DOT, lambda m: ".")]
     changed = False
     for pattern, new in steps:
         if pattern is _DOT and "@" not in mapped.text and not _DIGIT.search(mapped.text):
             continue
+        if pattern is _SPELLED_CHAIN and not _CHAIN_HINT.search(mapped.text):
+            continue
         if pattern is _SPELLED_RUN and not _SPELLED_HINT.search(mapped.text):
             continue
         changes = [
@@ -219,10 +268,6 @@ def deobfuscated(text: str) -> Mapped | None:
     return mapped if changed else None
 
 
-# Two spelled digits in a row: rare in prose, so most texts skip the full pattern.
-_SPELLED_HINT = re.compile(rf"(?<=[oetfsnvihxr])[ -](?:{_WORD})[ ,-]", re.IGNORECASE)
-
-
 def find_spans(text: str) -> list[tuple[int, int, int, bool]]:
     """``(start, end, kind number, plain)`` of all identifiers, by start, then kind."""
     plain = plain_spans(text)

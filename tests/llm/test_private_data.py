@@ -65,6 +65,38 @@ def test_prose_stays_clean():
         assert find_spans(text) == []
 
 
+@pytest.mark.parametrize("between", [" ", "-", " -", "- ", " - ", ", "])
+@pytest.mark.parametrize("before", ["call ", "ring: ", "zero. ", "(", ""])
+def test_every_separator_of_spelled_digits(between, before):
+    for items in ("five five five one two three four five six seven", "five 5 five 1 two 3 four 5 six 7",
+                  "null cinq null cinq null cinq null cinq null cinq"):
+        number = "+" + between.join(items.split())
+        text = f"{before}{number}."
+        assert [(text[a:b], KINDS[k]) for a, b, k, _ in find_spans(text)] == [(number, "phone")]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("write curator at strains.org now", "email", "curator at strains.org"),
+        ("mail j.doe7 at lab.strains.org.", "email", "j.doe7 at lab.strains.org"),
+        ("host one nine two dot one six eight dot one dot two up", "ip", "one nine two dot one six eight dot one dot two"),
+        ("host 192 [dot] one six 8 [dot] zero [dot] 7 up", "ip", "192 [dot] one six 8 [dot] zero [dot] 7"),
+        ("host one.two.three.four", "ip", "one.two.three.four"),
+    ],
+)
+def test_plain_domains_and_spelled_parts(text, kind, source):
+    assert [(text[a:b], KINDS[k]) for a, b, k, _ in find_spans(text)] == [(source, kind)]
+
+
+def test_prose_around_at_and_dots_stays_clean():
+    for text in (
+        "available at strains.org", "look at www.strains.org", "see them at strains.org/list", "grown at 3.5 degrees",
+        "One. Two. Three. Four. Five.", "it ended at noon.The next day", "one dot two dot three",
+    ):
+        assert find_spans(text) == []
+
+
 def test_rows_and_masks(samples, edge_rows):
     rows = [*edge_rows, (20, "mail a@b.org or +1 (555) 010-9999 é 10.0.0.1")]
     out = {r["bacdive_id"]: r["found"] for r in find_private_data(samples(rows)).collect()}
