@@ -55,7 +55,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One occurrence of each group of similar lines stays; emptied documents go."""
-    kept = remove_fuzzy_lines(_samples(docs))
+    kept = remove_fuzzy_lines(_samples(docs), digits=True)
     left = kept.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     return _documents(left, "kept_text", docs.columns)
 

@@ -208,7 +208,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_simhash_fuzzy_lines")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    kept = remove_fuzzy_lines(samples(spark, folder))
+    kept = remove_fuzzy_lines(samples(spark, folder), digits=True)
     return kept.select(
         F.col("bacdive_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )

@@ -193,6 +193,25 @@ def test_fuzzy_lines_against_all_pairs(samples, edge_rows):
     assert fuzzy_lines.remove_fuzzy_lines(samples([])).count() == 0
 
 
+def test_lines_that_differ_in_digits_are_compared_with_their_digits(samples):
+    bases = [
+        "12 34 56", "78 90 12", "2020 01 02", "1999 12 31", "a 17 b 23 c 45 d", "a 98 b 67 c 81 d",
+        "2 litres of the spring water from site number 14", "2 litres of the spring water from site number 15",
+        "9 1 8 2 7 3 6 4 5 0", "1 9 2 8 3 7 4 6 5 5", "sample taken in year 2011 there", "sample taken in year 2012 there",
+        "12 34 56",
+    ]
+    links = [
+        (a, b) for a in range(len(bases)) for b in range(a)
+        if 10 * levenshtein(bases[a], bases[b]) <= max(len(bases[a]), len(bases[b]))
+    ]
+    assert sorted(links) == [(7, 6), (11, 10), (12, 0)]
+    group = smallest_reachable(range(len(bases)), links)
+    rows = samples(list(enumerate(bases))).drop("score", "n_words")
+    out = fuzzy_lines.remove_fuzzy_lines(rows, digits=True).collect()
+    kept = {r["bacdive_id"]: 1 - r["n_removed"] for r in out}
+    assert kept == {i: int(group[i] == i) for i in range(len(bases))}
+
+
 def vectors(n, seed):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, 16))
