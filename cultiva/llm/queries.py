@@ -12,6 +12,7 @@ from cultiva.llm.fuzzy_lines import remove_fuzzy_lines
 from cultiva.llm.jaccard import jaccard_components
 from cultiva.llm.line_quality import fit_line_field, score_lines
 from cultiva.llm.packing import pack, token_pieces
+from cultiva.llm.periodic_runs import periodic_runs
 from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
 from cultiva.llm.substrings import remove_repeated_windows
@@ -115,6 +116,60 @@ SELECT vec_id, coalesce(n, 0)::bigint AS n_links, component_id, vec_id = compone
 FROM least LEFT JOIN counted ON vec_id = a
 """
 
+# CRC-32 of a string of ASCII characters: bytes in turn, eight shifts after each.
+CRC_SQL = """list_reduce(
+  [4294967295::bigint] || flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::bigint] || repeat([-1::bigint], 8))),
+  lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)"""
+
+RUNS_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+         xor({CRC_SQL.format("doc_id::varchar")}, 4294967295) AS h FROM documents),
+turned AS (
+  SELECT rid, doc_id, len(w) AS n,
+         CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(0, len(w)), lambda i: w[1 + CASE
+           WHEN i < (h // 10) % len(w) THEN i
+           ELSE (h // 10) % len(w) + (i - (h // 10) % len(w))
+                % (1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM d),
+words AS (SELECT rid, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM turned),
+pairs AS (
+  SELECT a.rid, a.i, b.i - a.i AS p FROM words a JOIN words b
+  ON a.rid = b.rid AND a.word = b.word AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+chained AS (SELECT *, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS chain FROM pairs),
+stretches AS (
+  SELECT rid, p, min(i) AS s, count(*) + p AS l FROM chained GROUP BY rid, p, chain
+  HAVING count(*) + p >= greatest(24, 3 * p)),
+runs AS (SELECT rid, s, l, min(p) AS p FROM stretches GROUP BY rid, s, l),
+listed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t
+  FROM runs GROUP BY rid),
+best AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l / p DESC, s, p) AS k FROM runs),
+gone AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(range(s + p, s + l)) AS i FROM runs)),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, s::bigint AS start, l::bigint AS length,
+       p::bigint AS period, (1000 * l // p)::bigint AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM turned LEFT JOIN listed USING (rid) LEFT JOIN best ON turned.rid = best.rid AND k = 1
+LEFT JOIN kept ON turned.rid = kept.rid
+"""
+
+
+def turned(texts: DataFrame) -> DataFrame:
+    """The words of some texts go round, as the contract of op11 has it."""
+    h = F.crc32(F.col("bacdive_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("iso_sample_text", F.lit("")), F.lit(WORD), 0)
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    place = F.sequence(F.lit(0), n - 1)
+    moved = F.transform(place, lambda i: F.get("_words", F.when(i < a, i).otherwise(a + (i - a) % period).cast("int")))
+    chosen = texts.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    return chosen.withColumn(
+        "iso_sample_text", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("iso_sample_text"))
+    ).drop("_h", "_words")
+
 
 @query("op4_suffix_array_repetition", REPETITION_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,6 +269,30 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_dyadic_square_runs", RUNS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(turned(samples(spark, folder)))
+
+    def steeper(x, y):
+        """By falling exponent (cross products, no rounding), then start, then period."""
+        left, right = x["length"] * y["period"], y["length"] * x["period"]
+        tie = F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(
+            F.signum(x["period"] - y["period"])
+        )
+        return F.when(left > right, -1).when(left < right, 1).otherwise(tie).cast("int")
+
+    best = F.get(F.array_sort("runs", steeper), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_best", best).select(
+        F.col("bacdive_id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("_best").getField(c).alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
