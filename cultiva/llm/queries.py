@@ -17,6 +17,7 @@ from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
 from cultiva.llm.substrings import remove_repeated_windows
 from cultiva.llm.token_counts import token_counts
+from cultiva.llm.whitening import whitened_embeddings
 from suite.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -293,6 +294,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op13_sliced_spectrum_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("genome_accession"), "embedding")
+    return whitened_embeddings(vectors).withColumnRenamed("genome_accession", "vec_id")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
