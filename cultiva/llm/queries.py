@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cultiva.llm.byte_bpe import bpe_decode, bpe_encode
+from cultiva.llm.fingerprints import hexadecimal, near_fingerprints, text_fingerprints
 from cultiva.llm.flat_graph import embedding_duplicates
 from cultiva.llm.fuzzy_lines import remove_fuzzy_lines
 from cultiva.llm.jaccard import jaccard_components
@@ -16,6 +17,7 @@ from cultiva.llm.periodic_runs import periodic_runs
 from cultiva.llm.private_data import KINDS, find_private_data
 from cultiva.llm.repetition import repetition_profile
 from cultiva.llm.substrings import remove_repeated_windows
+from cultiva.llm.tables import written
 from cultiva.llm.token_counts import token_counts
 from cultiva.llm.whitening import whitened_embeddings
 from suite.base import Query, table
@@ -156,6 +158,43 @@ FROM turned LEFT JOIN listed USING (rid) LEFT JOIN best ON turned.rid = best.rid
 LEFT JOIN kept ON turned.rid = kept.rid
 """
 
+SIMHASH_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+follows AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id)),
+edits AS (
+  SELECT doc_id, next_id, text, length(text) AS n,
+         substr(text, 1, length(text) - length(text) // 4) || substr(next, 1, length(text) // 4) AS edited
+  FROM follows),
+versions AS (SELECT doc_id, 0 AS v, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+words AS (SELECT doc_id, v, regexp_extract_all(text, '{WORD}') AS w FROM versions),
+terms AS (
+  SELECT doc_id, v, unnest(CASE WHEN len(w) > 1
+    THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS t FROM words),
+hashed AS (
+  SELECT doc_id, v, ('0x' || substr(md5(t), 1, 16))::ubigint AS h, least(length(t), 64) AS weight FROM terms),
+votes AS (
+  SELECT doc_id, v, sum(weight) AS total,
+         {", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN weight ELSE 0 END) AS b{i}" for i in range(64))}
+  FROM hashed GROUP BY doc_id, v),
+prints AS (
+  SELECT doc_id, v, ({" + ".join(f"CASE WHEN 2 * b{i} > total THEN {1 << i}::hugeint ELSE 0 END" for i in range(64))})::ubigint AS f
+  FROM votes),
+pairs AS (
+  SELECT edits.*, coalesce(a.f, 0) AS f, coalesce(b.f, 0) AS g FROM edits
+  LEFT JOIN prints a ON edits.doc_id = a.doc_id AND a.v = 0 LEFT JOIN prints b ON edits.doc_id = b.doc_id AND b.v = 1),
+near AS (
+  SELECT x.doc_id, count(*) AS n_near, nullif(min(CASE WHEN x.f = y.f THEN 99 ELSE bit_count(xor(x.f, y.f)::hugeint) END), 99) AS nearest
+  FROM pairs x JOIN pairs y ON x.doc_id % 20 = 0 AND bit_count(xor(x.f, y.f)::hugeint) <= 3 GROUP BY x.doc_id)
+SELECT pairs.doc_id, pairs.n AS n_chars, sha256(pairs.edited) AS edited_sha256,
+       lower(lpad(to_hex(pairs.f), 16, '0')) AS fingerprint, lower(lpad(to_hex(pairs.g), 16, '0')) AS edited_fingerprint,
+       greatest(0.0, round(cos(pi() * bit_count(xor(pairs.f, pairs.g)::hugeint) / 64), 6)) AS near_edited,
+       greatest(0.0, round(cos(pi() * bit_count(xor(pairs.f, c.f)::hugeint) / 64), 6)) AS near_next,
+       n_near::bigint AS n_near, nearest::int AS nearest
+FROM pairs JOIN pairs c ON pairs.next_id = c.doc_id LEFT JOIN near ON pairs.doc_id = near.doc_id
+"""
+
 
 def turned(texts: DataFrame) -> DataFrame:
     """The words of some texts go round, as the contract of op11 has it."""
@@ -294,6 +333,26 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_simhash_fingerprints", SIMHASH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents; every twentieth is searched for among all."""
+    found = written(text_fingerprints(samples(spark, folder)))
+    asked = F.col("bacdive_id") % 20 == 0
+    near = near_fingerprints(found.filter(asked), found)
+    joined = found.join(near, "simhash", "left")
+    return joined.select(
+        F.col("bacdive_id").alias("doc_id"),
+        "n_chars",
+        F.col("edited_text_sha256").alias("edited_sha256"),
+        hexadecimal(F.col("simhash")).alias("fingerprint"),
+        hexadecimal(F.col("edited_simhash")).alias("edited_fingerprint"),
+        F.col("likeness_edited").alias("near_edited"),
+        F.col("likeness_next").alias("near_next"),
+        F.when(asked, F.col("n_near")).alias("n_near"),
+        F.when(asked, F.col("nearest")).alias("nearest"),
+    )
+
+
 @query("op13_sliced_spectrum_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("genome_accession"), "embedding")
