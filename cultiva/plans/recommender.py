@@ -1,12 +1,12 @@
-"""Per-medium recommender: training, scoring and the held-out benchmark."""
+"""Per-medium recommender: training, scoring and the held-out benchmark.
+
+The models of all media and folds are grown together (:mod:`cultiva.plans.boosting`).
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +15,12 @@ from cultiva.operators import metrics as M
 from cultiva.operators.encode import label_matrix, label_table
 from cultiva.operators.folds import group_folds
 from cultiva.operators.ranking import top_media_from_scores
-from cultiva.plans.phenotype import Trees
+from cultiva.plans import boosting
+from cultiva.plans.boosting import Ensemble, Model, Trees
 from cultiva.plans.training_table import with_group
 from cultiva.session import materialize
 
+
 def prepare(
     strains: DataFrame,
     links: DataFrame,
@@ -44,186 +46,151 @@ FOLD_METRICS = (
 )
 
 
-def _fit(train: DataFrame, medium: str, n_pos: int, n_neg: int, trees: Trees) -> GBTClassificationModel:
-    weight = n_neg / max(1, n_pos)
-    weighted = train.select(
-        "features",
-        F.col(f"`{medium}`").cast("double").alias("label"),
-        F.when(F.col(f"`{medium}`") == 1, float(weight)).otherwise(1.0).alias("weight"),
-    )
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees.iterations,
-        maxDepth=trees.depth, stepSize=trees.step, maxBins=trees.bins, seed=trees.seed,
-    ).fit(weighted)
-
-
-def with_scores(
-    df: DataFrame, models: dict[str, GBTClassificationModel]
-) -> tuple[DataFrame, dict[str, str]]:
-    """One probability column per medium, added in a single pass over ``df``."""
-    columns = {}
-    for i, (medium, model) in enumerate(models.items()):
-        column = f"_score_{i}"
-        scorer = model.copy()
-        scorer.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p_{i}")
-        df = scorer.transform(df)
-        df = df.withColumn(column, vector_to_array(f"_p_{i}")[1]).drop(f"_p_{i}")
-        columns[medium] = column
-    return df, columns
-
-
-def score_all_media(
-    genomes: DataFrame, models: dict[str, GBTClassificationModel], key: Sequence[str]
+def benchmark_table(
+    strains: DataFrame, positives: DataFrame, features: DataFrame, names: Sequence[str], media: Sequence[str],
+    key: str = "bacdive_id",
 ) -> DataFrame:
-    """Long ``(key, medium_id, score)``; every row makes its own scores, no shuffle."""
-    scored, columns = with_scores(genomes, models)
-    entries = [
-        F.struct(F.lit(m).alias("medium_id"), F.col(c).alias("score")) for m, c in columns.items()
-    ]
-    return scored.select(*key, F.inline(F.array(*entries)))
+    """``key, fold``, the features ``names`` and ``grown``, 0 or 1 for each of ``media``."""
+    labels = label_matrix(strains.select(key), positives, media, key)
+    grown = labels.select(key, F.array(*[F.col(f"`{m}`") for m in media]).alias("grown"))
+    own = features.select(key, *[F.col(f"`{n}`") for n in names])
+    return strains.select(key, "fold").join(grown, key).join(own, key)
+
+
+def _sizes(table: DataFrame, media: Sequence[str], keys: Sequence[str]) -> list:
+    """Rows and positives of every medium, per fold or in all."""
+    sums = [F.sum(F.get("grown", F.lit(i)).cast("bigint")) for i in range(len(media))]
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("positives")).collect()
+
+
+def _fold_models(
+    table: DataFrame, media: Sequence[str], min_train: int, min_negatives: int, min_test: int
+) -> tuple[list[Model], list[tuple]]:
+    """Models of the media and folds that can be trained, and ``(chain, place, medium, fold, sizes...)``."""
+    sizes = sorted(_sizes(table, media, ["fold"]), key=lambda r: r["fold"])
+    total = sum(r["n"] for r in sizes)
+    models, described = [], []
+    for i, medium in enumerate(media):
+        grown = sum(r["positives"][i] for r in sizes)
+        for r in sizes:
+            n_train, n_test, test_pos = total - r["n"], r["n"], r["positives"][i]
+            train_pos = grown - test_pos
+            if train_pos < min_train or n_train - train_pos < min_negatives or test_pos < min_test:
+                continue
+            weight = (n_train - train_pos) / max(1, train_pos)
+            chain = len(models)
+            models.append(Model(medium, i, "binary", chain, r["fold"], weight=weight))
+            described.append((chain, i, medium, r["fold"], n_train, n_test, test_pos))
+    return models, described
 
 
-def top_media(
-    genomes: DataFrame,
-    models: dict[str, GBTClassificationModel],
-    names: dict[str, str],
-    key: str = "genome_accession",
-    k: int = 3,
-) -> DataFrame:
-    """Best ``k`` media per genome as columns, without a shuffle."""
-    scored, columns = with_scores(genomes, models)
-    return scored.select(key, *top_media_from_scores(columns, names, k))
+CHAINS = "chain int, place int, medium_id string, fold int, n_train bigint, n_test bigint, n_test_positives bigint"
 
 
-def _positives(table: DataFrame, media: Sequence[str], keys: Sequence[str]) -> list:
-    return table.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"`{m}`").cast("bigint")).alias(m) for m in media]
-    ).collect()
+def _fit(table, media, features, models, trees, keep) -> boosting.Fit:
+    labels = [F.get("grown", F.lit(i)) for i in range(len(media))]
+    return boosting.fit(table, features, labels, models, trees, [F.col("fold")], keep)
 
 
 def train_per_medium(
-    table: DataFrame, media: Sequence[str], key: str, trees: Trees = Trees(),
-    min_train: int = 5, min_test: int = 1,
+    table: DataFrame, media: Sequence[str], features: Sequence[str], key: str = "bacdive_id",
+    trees: Trees = Trees(iterations=200), min_train: int = 5, min_test: int = 1,
 ) -> DataFrame:
-    """Cross-validated metrics per medium and fold.
+    """Cross-validated metrics per medium and fold, all models grown in one run.
 
-    ``table``: key, fold, features vector and one 0/1 column per medium. Folds
-    with too few positives are skipped.
+    ``table`` is that of :func:`benchmark_table`. Folds with too few positives, or with
+    one class only, are skipped.
     """
+    spark = table.sparkSession
     table = materialize(table)
-    sizes = _positives(table, media, ["fold"])
-    n_all = sum(r["n"] for r in sizes)
-    rows = []
-    for medium in media:
-        positives = sum(r[medium] for r in sizes)
-        for r in sorted(sizes, key=lambda r: r["fold"]):
-            n_train, n_test = n_all - r["n"], r["n"]
-            train_pos, test_pos = positives - r[medium], r[medium]
-            if train_pos < min_train or test_pos < min_test or train_pos == n_train or test_pos == n_test:
-                continue
-            train = table.filter(F.col("fold") != r["fold"])
-            model = _fit(train, medium, train_pos, n_train - train_pos, trees)
-            test = table.filter(F.col("fold") == r["fold"])
-            scored, columns = with_scores(test, {medium: model})
-            found = M.per_medium_auc(
-                scored.select(
-                    F.lit(medium).alias("medium_id"),
-                    F.col(f"`{medium}`").alias("y"),
-                    F.col(columns[medium]).alias("score"),
-                )
-            ).first()
-            rows.append(
-                (medium, r["fold"], n_train, n_test, test_pos, found["roc_auc"], found["pr_auc"])
-            )
-    return table.sparkSession.createDataFrame(rows, FOLD_METRICS)
+    models, described = _fold_models(table, media, max(1, min_train), 1, min_test)
+    if not models:
+        return spark.createDataFrame([], FOLD_METRICS)
+    fitted = _fit(table, media, features, models, trees, [key, "grown"])
+    chains = spark.createDataFrame(described, CHAINS)
+    scored = fitted.held_out([key, "grown"]).drop("fold").join(F.broadcast(chains), "chain").select(
+        "medium_id", "fold", F.get("grown", F.col("place")).alias("y"), F.get("scores", F.lit(0)).alias("score")
+    )
+    keys = ["medium_id", "fold"]
+    found = M.auc_from_counts(M.score_counts(scored, keys), keys)
+    return chains.join(found, keys).select(*[c.split()[0] for c in FOLD_METRICS.split(", ")])
 
 
 def train_production(
-    table: DataFrame, media: Sequence[str], trees: Trees = Trees(), minimum: int = 10
-) -> dict[str, GBTClassificationModel]:
+    table: DataFrame, media: Sequence[str], features: Sequence[str], trees: Trees = Trees(), minimum: int = 10
+) -> Ensemble | None:
     """One model per medium on all rows; media short of either class are skipped."""
     table = materialize(table)
-    counts = _positives(table, media, [])[0]
-    models = {}
-    for medium in media:
-        n_pos, n_neg = counts[medium], counts["n"] - counts[medium]
+    counts = _sizes(table, media, [])[0]
+    models = []
+    for i, medium in enumerate(media):
+        n_pos = counts["positives"][i]
+        n_neg = counts["n"] - n_pos
         if n_pos >= minimum and n_neg >= minimum:
-            models[medium] = _fit(table, medium, n_pos, n_neg, trees)
-    return models
-
-
-def save_models(
-    spark: SparkSession, models: dict[str, GBTClassificationModel], features: Sequence[str], path: str
-) -> None:
-    """Models and the feature order they expect."""
-    folders = {}
-    for medium, model in models.items():
-        safe = "".join(c if c.isalnum() else "_" for c in medium)
-        folders[medium] = f"medium_{safe}"
-        model.write().overwrite().save(f"{path}/medium_{safe}")
-    payload = json.dumps({"features": list(features), "media": folders})
-    spark.createDataFrame([(payload,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata"
-    )
+            models.append(Model(medium, i, "binary", len(models), weight=n_neg / n_pos))
+    return _fit(table, media, features, models, trees, []).ensemble if models else None
 
 
-def load_models(spark: SparkSession, path: str) -> tuple[dict[str, GBTClassificationModel], list[str]]:
-    payload = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    models = {
-        medium: GBTClassificationModel.load(f"{path}/{folder}")
-        for medium, folder in payload["media"].items()
-    }
-    return models, payload["features"]
+def save_models(spark: SparkSession, models: Ensemble, path: str) -> None:
+    """A bundle of all media: trees, feature order, bins and names."""
+    boosting.save(spark, {"media": models}, path, {"kind": "media"})
 
 
-def benchmark_table(
-    strains: DataFrame, positives: DataFrame, vectors: DataFrame, media: Sequence[str],
-    key: str = "bacdive_id",
+def load_models(spark: SparkSession, path: str) -> Ensemble:
+    ensembles, described = boosting.load(spark, path)
+    if described.get("kind") != "media":
+        raise ValueError("not a bundle of media")
+    return ensembles["media"]
+
+
+def score_all_media(genomes: DataFrame, models: Ensemble, key: Sequence[str]) -> DataFrame:
+    """Long ``(key, medium_id, score)``; every row makes its own scores, no shuffle."""
+    scored = boosting.with_scores(genomes, models)
+    entries = [
+        F.struct(F.lit(m.name).alias("medium_id"), F.get("_scores", F.lit(i)).alias("score"))
+        for i, m in enumerate(models.models)
+    ]
+    return scored.select(*key, F.inline(F.array(*entries)))
+
+
+def top_media(
+    genomes: DataFrame, models: Ensemble, names: dict[str, str], key: str = "genome_accession", k: int = 3
 ) -> DataFrame:
-    """``key, fold, features`` and one 0/1 column per medium."""
-    labels = label_matrix(strains.select(key), positives, media, key)
-    return strains.select(key, "fold").join(labels, key).join(vectors.select(key, "features"), key)
+    """Best ``k`` media per genome as columns, without a shuffle."""
+    scored = boosting.with_scores(genomes, models)
+    columns = {m.name: f"_score_{i}" for i, m in enumerate(models.models)}
+    wide = scored.select(key, *[F.get("_scores", F.lit(i)).alias(c) for i, c in enumerate(columns.values())])
+    return wide.select(key, *top_media_from_scores(columns, names, k))
 
 
 def fold_scores(
-    table: DataFrame, media: Sequence[str], key: str = "bacdive_id", trees: Trees = Trees(),
-    minimum: int = 5,
+    table: DataFrame, media: Sequence[str], features: Sequence[str], key: str = "bacdive_id",
+    trees: Trees = Trees(iterations=200), minimum: int = 5,
 ) -> DataFrame:
-    """Held-out ``(key, fold, medium_id, y, score)``.
+    """Held-out ``(key, fold, medium_id, y, score)``, all models grown in one run.
 
     The score is the training prevalence where a fold has fewer than
     ``minimum`` positives or negatives to train on.
     """
+    spark = table.sparkSession
     table = materialize(table)
-    sizes = _positives(table, media, ["fold"])
-    n_all = sum(r["n"] for r in sizes)
-    totals = {m: sum(r[m] for r in sizes) for m in media}
-    parts = []
-    for r in sorted(sizes, key=lambda r: r["fold"]):
-        train = table.filter(F.col("fold") != r["fold"])
-        test = table.filter(F.col("fold") == r["fold"])
-        n_train = n_all - r["n"]
-        models, defaults = {}, {}
-        for m in media:
-            n_pos = totals[m] - r[m]
-            if n_pos >= minimum and n_train - n_pos >= minimum:
-                models[m] = _fit(train, m, n_pos, n_train - n_pos, trees)
-            else:
-                defaults[m] = n_pos / n_train if n_train else 0.0
-        scored, columns = with_scores(test, models)
-        entries = [
-            F.struct(
-                F.lit(m).alias("medium_id"),
-                F.col(f"`{m}`").alias("y"),
-                (F.col(columns[m]) if m in columns else F.lit(float(defaults[m]))).alias("score"),
-            )
-            for m in media
-        ]
-        parts.append(scored.select(key, "fold", F.inline(F.array(*entries))))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    models, described = _fold_models(table, media, minimum, minimum, 0)
+    sizes = _sizes(table, media, ["fold"])
+    total = sum(r["n"] for r in sizes)
+    trained = {(d[1], d[3]) for d in described}
+    defaults = [
+        (i, m, r["fold"], (sum(s["positives"][i] for s in sizes) - r["positives"][i]) / max(1, total - r["n"]))
+        for i, m in enumerate(media) for r in sizes if (i, r["fold"]) not in trained
+    ]
+    chosen = spark.createDataFrame(defaults, "place int, medium_id string, fold int, score double")
+    columns = [key, "fold", "medium_id", F.get("grown", F.col("place")).alias("y"), "score"]
+    rest = table.select(key, "fold", "grown").join(F.broadcast(chosen), "fold").select(*columns)
+    if not models:
+        return rest
+    fitted = _fit(table, media, features, models, trees, [key, "grown"])
+    chains = spark.createDataFrame(described, CHAINS).select("chain", "place", "medium_id")
+    scored = fitted.held_out([key, "grown"]).join(F.broadcast(chains), "chain")
+    return scored.withColumn("score", F.get("scores", F.lit(0))).select(*columns).unionByName(rest)
 
 
 def popularity_benchmark(

@@ -8,24 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cultiva.operators.joins import with_medium_name
-from cultiva.operators.ranking import rank_media, recipe_summary
-from cultiva.plans.phenotype import Head, predict_targets
-from cultiva.plans.recommender import score_all_media
-from cultiva.plans.training_table import assemble
+from cultiva.operators.ranking import recipe_summary
+from cultiva.plans.boosting import Ensemble, with_scores
+from cultiva.plans.phenotype import Heads, predict_targets
 
 
 def recommend_media(
     genomes: DataFrame,
-    features: Sequence[str],
-    models: dict,
+    models: Ensemble,
     names: DataFrame,
     recipes: DataFrame,
     top_k: int = 8,
     key: str = "genome_accession",
 ) -> DataFrame:
-    """Best media per genome with name, confidence and a short recipe."""
-    vectors = assemble(genomes, features, [key])
-    ranked = rank_media(score_all_media(vectors, models, [key]), top_k, key, digits=4)
+    """Best media per genome with name, confidence and a short recipe.
+
+    Scores are ranked within their row, equal ones by medium id; only the best
+    ``top_k`` leave it.
+    """
+    own = genomes.select(key, *[F.col(f"`{f}`") for f in models.features if f != key])
+    entries = [
+        F.struct((-F.bround(F.get("_scores", F.lit(i)), 4)).alias("negated"), F.lit(m.name).alias("medium_id"))
+        for i, m in enumerate(models.models)
+    ]
+    best = F.slice(F.array_sort(F.array(*entries)), 1, top_k)
+    ranked = with_scores(own, models).select(key, F.posexplode(best).alias("_at", "_best")).select(
+        key, (F.col("_at") + 1).alias("rank"), "_best.medium_id", (-F.col("_best.negated")).alias("score")
+    )
     named = with_medium_name(ranked, names).join(recipe_summary(recipes), "medium_id", "left")
     return named.select(
         key, "rank", "medium_id", F.col("medium_name").alias("name"),
@@ -34,7 +43,7 @@ def recommend_media(
 
 
 def describe_genomes(
-    genomes: DataFrame, features: Sequence[str], heads: Sequence[Head], key: str = "genome_accession"
+    genomes: DataFrame, features: Sequence[str], heads: Heads, key: str = "genome_accession"
 ) -> DataFrame:
     """Size summary and predicted phenotypes of genomes."""
     return predict_targets(

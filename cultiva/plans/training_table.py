@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cultiva.functions.scalars import group_key
-from cultiva.operators.encode import fill_features, one_hot_tags
+from cultiva.operators.encode import one_hot_tags
 from cultiva.operators.filters import training_ready
 from cultiva.operators.joins import STRAIN_GENOME, fuse_features, join_features, numeric_only
 
@@ -34,10 +33,3 @@ def build_training_table(
     own = [c for c in numeric_only(features).columns if c not in STRAIN_GENOME]
     extra = [c for c in fused.columns if c not in base.columns]
     return fused, [*own, *tag_columns, *extra]
-
-
-def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns plus one ``features`` vector; missing features are zero."""
-    filled = fill_features(df.select(*keep, *[c for c in features if c not in keep]), features)
-    vector = VectorAssembler(inputCols=list(features), outputCol="features")
-    return vector.transform(filled).select(*keep, "features")

@@ -68,3 +68,31 @@ def shared_scratch(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root}/scratch-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Intermediate tables in the checkpoint folder that are deleted after their last use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: dict[int, str] = {}
+
+    def written(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+        """Write ``df``, read it back, and delete the table it replaces.
+
+        This cuts the lineage: a lost executor costs a task that reads files.
+        """
+        folder = shared_scratch(self.spark)
+        df.write.option("compression", "zstd").parquet(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        if instead_of is not None:
+            self.delete(instead_of)
+        self.folders[id(table)] = folder
+        return table
+
+    def delete(self, table: DataFrame) -> None:
+        """Delete a table written here; nothing may read it any more."""
+        folder = self.folders.pop(id(table), None)
+        if folder is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,9 +8,10 @@ from cultiva.operators.metrics import constant_mean_mae
 from cultiva.plans import phenotype as H
 from cultiva.plans import recommender as P
 from cultiva.plans import report
-from cultiva.plans.training_table import assemble, with_group
+from cultiva.plans.boosting import Model, Trees, best_split, binned, fit, with_scores
+from cultiva.plans.training_table import with_group
 
-TREES = H.Trees(iterations=8, forest=10, depth=3, step=0.3, bins=32)
+TREES = Trees(iterations=8, depth=3, step=0.4, bins=32)
 
 
 def test_groups_stay_together_and_balance(spark):
@@ -96,15 +97,126 @@ def test_too_few_rows(training):
     assert not H.cross_validate(training.limit(3), "optimal_ph", "regression", FEATURES, "bacdive_id").folds
 
 
-def test_heads_give_intervals(training):
+def test_heads_give_intervals(training, spark, tmp_path):
     targets = {"optimal_temperature_c": "regression", "oxygen_requirement": "classification", "salt_tolerance_pct": "regression"}
     heads = H.fit_heads(training, FEATURES, "bacdive_id", targets, TREES, k=3)
-    assert [h.target for h in heads] == ["optimal_temperature_c", "oxygen_requirement"]
+    assert [h.target for h in heads.heads] == ["optimal_temperature_c", "oxygen_requirement"]
     rows = H.predict_targets(training, FEATURES, heads, ["bacdive_id", "optimal_temperature_c"]).toPandas()
-    inside = rows["optimal_temperature_c"].between(rows["pred_optimal_temperature_c_low_80"], rows["pred_optimal_temperature_c_high_80"])
-    assert 0.7 < inside.mean() < 1.0
+    low, high = rows["pred_optimal_temperature_c_low_80"], rows["pred_optimal_temperature_c_high_80"]
+    assert 0.7 < rows["optimal_temperature_c"].between(low, high).mean() <= 1.0
+    assert rows["pred_optimal_temperature_c"].between(low, high).all() and (high - low).round(6).nunique() > 1
     assert rows["pred_oxygen_requirement_confidence"].between(0, 1).all()
     assert set(rows["pred_oxygen_requirement"]) <= {"aerobe", "anaerobe", "rare"}
+    H.save_heads(spark, heads, f"{tmp_path}/heads")
+    loaded = H.load_heads(spark, f"{tmp_path}/heads", FEATURES)
+    again = H.predict_targets(training, FEATURES, loaded, ["bacdive_id", "optimal_temperature_c"]).toPandas()
+    pd.testing.assert_frame_equal(rows.sort_values("bacdive_id", ignore_index=True), again.sort_values("bacdive_id", ignore_index=True))
+    with pytest.raises(ValueError):
+        H.load_heads(spark, f"{tmp_path}/heads", FEATURES[::-1])
+    with pytest.raises(ValueError):
+        H.predict_targets(training, FEATURES[::-1], loaded, ["bacdive_id"])
+    with pytest.raises(ValueError):
+        H.predict_targets(training.drop("f1"), FEATURES, loaded, ["bacdive_id"]).count()
+    spark.read.parquet(f"{tmp_path}/heads/trees").limit(3).write.parquet(f"{tmp_path}/short")
+    spark.read.parquet(f"{tmp_path}/short").write.mode("overwrite").parquet(f"{tmp_path}/heads/trees")
+    with pytest.raises(ValueError):
+        H.load_heads(spark, f"{tmp_path}/heads")
+
+
+def test_intervals_widen_with_the_noise(spark):
+    """Strains with a large second feature scatter ten times as much."""
+    rng = np.random.default_rng(4)
+    n = 800
+    wide = rng.random(n) < 0.5
+    pdf = pd.DataFrame({"f0": rng.normal(size=n), "f1": wide * 1.0, "bacdive_id": np.arange(n), "group": [f"g{i % 40}" for i in range(n)]})
+    pdf["optimal_temperature_c"] = 30 + 2 * pdf["f0"] + rng.normal(size=n) * np.where(wide, 10.0, 1.0)
+    df = spark.createDataFrame(pdf)
+    heads = H.fit_heads(df, ["f0", "f1"], "bacdive_id", {"optimal_temperature_c": "regression"}, TREES)
+    rows = H.predict_targets(df, ["f0", "f1"], heads, ["f1"]).toPandas()
+    width = (rows["pred_optimal_temperature_c_high_80"] - rows["pred_optimal_temperature_c_low_80"]).groupby(rows["f1"]).mean()
+    assert width[1.0] > 4 * width[0.0]
+
+
+def test_all_targets_in_one_run(training):
+    together = H.cross_validate_all(training, FEATURES, "bacdive_id", k=3, trees=TREES)
+    alone = H.cross_validate(training, "optimal_ph", "regression", FEATURES, "bacdive_id", k=3, trees=TREES)
+    mine = [f for f in together.folds if f[0] == "optimal_ph"]
+    assert {f[0] for f in together.folds} == {"optimal_temperature_c", "optimal_ph", "oxygen_requirement"}
+    # Targets share bins, found over the rows of all of them; folds and sizes are the target's own.
+    assert [f[:4] + f[5:] for f in mine] == [f[:4] + f[5:] for f in alone.folds]
+    assert abs(np.mean([f[4] for f in mine]) - np.mean([f[4] for f in alone.folds])) < 0.1
+
+
+def test_weak_labels_and_guards(training, spark):
+    df = training.withColumn(
+        "optimal_ph_source", F.when(F.col("bacdive_id") % 3 == 0, "mediadive_weak").otherwise("bacdive")
+    )
+    row = H.weak_label_test(df, "optimal_ph", FEATURES, "bacdive_id", min_train=20, min_test=5, k=3, trees=TREES).first()
+    assert row["verdict"] in ("HELPS", "HURTS", "WASH") and row["n_eval"] == df.filter("optimal_ph is not null and optimal_ph_source = 'bacdive'").count()
+    guarded = H.weak_label_test(df, "optimal_ph", FEATURES, "bacdive_id", min_train=10_000, k=3, trees=TREES).first()
+    assert guarded["verdict"] is None and guarded["n_eval"] is None
+
+
+def brute_split(bins, g, h, width, l2, least):
+    """Best gain over all features, thresholds and sides of the missing values."""
+    best = 0.0
+    for f in range(bins.shape[1]):
+        for t in range(1, width):
+            for missing_left in (True, False):
+                left = (bins[:, f] <= t) & ((bins[:, f] > 0) | missing_left)
+                (a, b), (c, d) = (g[left].sum(), h[left].sum()), (g[~left].sum(), h[~left].sum())
+                if b >= least and d >= least:
+                    best = max(best, a * a / (b + l2) + c * c / (d + l2) - (a + c) ** 2 / (b + d + l2))
+    return best
+
+
+def test_best_split_against_all_splits():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        n, width = 40, 6
+        bins, g, h = rng.integers(0, width, (n, 3)), rng.normal(size=n), rng.random(n)
+        sums = np.zeros((3, width, 2))
+        for f in range(3):
+            np.add.at(sums[f], bins[:, f], np.stack([g, h], axis=1))
+        found = best_split(sums, 1.0, 2.0)
+        assert found[3] == pytest.approx(max(0.0, brute_split(bins, g, h, width, 1.0, 2.0)), abs=1e-9)
+        if found[3] > 0:
+            left = (bins[:, found[0]] <= found[1]) & ((bins[:, found[0]] > 0) | found[2])
+            assert found[4] == pytest.approx(g[left].sum()) and found[7] == pytest.approx(h[~left].sum())
+
+
+def test_bins():
+    x = np.array([[1.0], [2.0], [2.5], [np.nan], [9.0]])
+    assert binned(x, [np.array([1.0, 2.0, 3.0])]).ravel().tolist() == [1, 2, 3, 0, 4]
+    assert binned(x, [np.array([])]).ravel().tolist() == [1, 1, 1, 0, 1]
+
+
+def test_absence_carries_the_label(spark):
+    """Half of a feature is missing, and that alone separates the classes."""
+    rng = np.random.default_rng(1)
+    n = 400
+    gone = rng.random(n) < 0.5
+    pdf = pd.DataFrame({"f0": rng.normal(size=n), "f1": np.where(gone, np.nan, rng.normal(size=n)), "y": gone * 1.0, "fold": np.arange(n) % 2, "id": np.arange(n)})
+    df = spark.createDataFrame(pdf).withColumn("f0", F.when(F.col("id") % 5 != 0, F.col("f0")))
+    models = [Model("gone", 0, "binary", f, held_out=f) for f in (0, 1)]
+    found = fit(df, ["f0", "f1"], [F.col("y")], models, TREES, [F.col("fold")], ["id", "y"])
+    rows = found.held_out(["id", "y"]).toPandas()
+    assert len(rows) == n and ((rows["scores"].str[0] > 0.5) == (rows["y"] == 1)).all()
+    again = with_scores(df, found.ensemble).toPandas()
+    both = rows.merge(again, on="id")
+    mine = [s[f] for s, f in zip(both["_scores"], both["fold_x"])]
+    np.testing.assert_allclose(both["scores"].str[0], mine, atol=1e-5)
+
+
+def test_models_grown_together_are_those_grown_alone(training):
+    df = training.withColumn("grown", (F.col("f2") > 0).cast("double")).withColumn("fold", F.col("bacdive_id") % 2)
+    models = [Model("a", 0, "binary", 0, held_out=0), Model("b", 1, "squared", 1, held_out=1, base=30.0)]
+    labels, size = [F.col("grown"), F.col("optimal_temperature_c")], Trees(iterations=9, depth=2, step=0.3, bins=16)
+    together = fit(df, FEATURES, labels, models, size, [F.col("fold")]).ensemble
+    for i, m in enumerate(models):
+        alone = fit(df, FEATURES, labels, [m], size, [F.col("fold")]).ensemble
+        np.testing.assert_array_equal(alone.feature[0], together.feature[i])
+        np.testing.assert_allclose(alone.leaf[0], together.leaf[i], rtol=1e-4, atol=1e-6)
 
 
 def test_recommender(spark, tmp_path):
@@ -122,17 +234,24 @@ def test_recommender(spark, tmp_path):
     folded, positives, media = P.prepare(tax, link_table, minimum=50, k=2)
     names = sorted(r["medium_id"] for r in media.collect())
     assert names == ["A", "B", "C"] and folded.count() == n
-    table = P.benchmark_table(folded, positives, assemble(spark.createDataFrame(pdf), ["f0", "f1", "f2"], ["bacdive_id"]), names)
-    auc = P.train_per_medium(table, names, "bacdive_id", TREES).toPandas().groupby("medium_id")["roc_auc"].mean()
-    assert auc["A"] > 0.6 and auc["B"] > 0.6
-    models = P.train_production(table, names, TREES)
-    P.save_models(spark, models, ["f0", "f1", "f2"], f"{tmp_path}/models")
-    loaded, order = P.load_models(spark, f"{tmp_path}/models")
-    assert order == ["f0", "f1", "f2"] and set(loaded) == set(names)
-    vectors = table.select("bacdive_id", "features")
-    long = P.score_all_media(vectors, loaded, ["bacdive_id"]).toPandas()
+    features = ["f0", "f1", "f2"]
+    table = P.benchmark_table(folded, positives, spark.createDataFrame(pdf), features, names)
+    found = P.train_per_medium(table, names, features, trees=TREES).toPandas()
+    auc = found.groupby("medium_id")["roc_auc"].mean()
+    assert len(found) == 6 and auc["A"] > 0.6 and auc["B"] > 0.6
+    scores = P.fold_scores(table, names, features, trees=TREES, minimum=5).toPandas()
+    assert len(scores) == 3 * n and scores["score"].between(0, 1).all()
+    plain = P.fold_scores(table, names, features, trees=TREES, minimum=10_000).toPandas()
+    assert plain.groupby(["fold", "medium_id"])["score"].nunique().eq(1).all() and len(plain) == 3 * n
+    models = P.train_production(table, names, features, TREES)
+    assert P.train_production(table, names, features, TREES, minimum=10_000) is None
+    P.save_models(spark, models, f"{tmp_path}/models")
+    loaded = P.load_models(spark, f"{tmp_path}/models")
+    assert loaded.features == features and [m.name for m in loaded.models] == names
+    genomes = table.select("bacdive_id", *features)
+    long = P.score_all_media(genomes, loaded, ["bacdive_id"]).toPandas()
     assert len(long) == 3 * n and long["score"].between(0, 1).all()
-    top = P.top_media(vectors, loaded, {"A": "Agar A"}, "bacdive_id").toPandas().set_index("bacdive_id")
+    top = P.top_media(genomes, loaded, {"A": "Agar A"}, "bacdive_id").toPandas().set_index("bacdive_id")
     best = long.sort_values(["score", "medium_id"], ascending=[False, True]).groupby("bacdive_id").first()
     assert (top["top1_medium_id"].sort_index() == best["medium_id"]).all()
     assert set(top["top1_medium_name"]) <= {"Agar A", "(unknown)"}
