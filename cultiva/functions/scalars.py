@@ -111,6 +111,11 @@ def candidate_accessions(accession: Column) -> Column:
     return F.when(has_version(accession), F.array(accession)).otherwise(tries)
 
 
+def draw(keys: Sequence[Column | str], seed: int = 0) -> Column:
+    """A reproducible random text per key, the same in every engine that has MD5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string") if isinstance(k, str) else k.cast("string"), F.lit("")) for k in keys]))
+
+
 def group_key(
     family: Column, genus: Column, species: Column, mode: str = "first_word"
 ) -> Column:

@@ -70,20 +70,36 @@ def ko_hits(
     )
 
 
-def catalog_preset(df: DataFrame, name: str) -> DataFrame:
-    """Named catalog selections: all, thermo, psychro, anaerobe, halo."""
-    presets = {
+def _presets() -> dict[str, Column]:
+    return {
         "all": F.lit(True),
         "thermo": F.col("pred_optimal_temperature_c") > 55,
         "psychro": F.col("pred_optimal_temperature_c") < 15,
         "anaerobe": F.lower(F.col("pred_oxygen_requirement")).contains("anaerobe"),
         "halo": F.col("pred_salt_tolerance_pct") > 3,
     }
+
+
+def catalog_preset(df: DataFrame, name: str) -> DataFrame:
+    """Named catalog selections: all, thermo, psychro, anaerobe, halo."""
+    presets = _presets()
     if name not in presets:
         raise ValueError(f"unknown preset: {name}")
     return df.filter(presets[name])
 
 
+def preset_counts(df: DataFrame, value: str, into: str) -> DataFrame:
+    """``(preset, n, into)``: genomes of every preset and their largest ``value``, in one pass."""
+    presets = _presets()
+    row = df.agg(
+        *[
+            F.struct(F.lit(name).alias("preset"), F.count_if(test).alias("n"), F.max(F.when(test, F.col(value))).alias(into)).alias(name)
+            for name, test in presets.items()
+        ]
+    )
+    return row.select(F.inline(F.array(*[F.col(name) for name in presets])))
+
+
 def catalog_search(
     df: DataFrame,
     text: str,

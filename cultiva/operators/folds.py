@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cultiva.functions.scalars import draw
 from cultiva.operators.ordered import row_index
 
 
@@ -79,4 +80,4 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 def random_fold(key: Column, k: int, seed: int = 0) -> Column:
     """Fold from a hash of the key: independent of order and partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int")
+    return F.pmod(F.conv(F.substring(draw([key], seed), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")

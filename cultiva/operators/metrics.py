@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from cultiva import values
 from cultiva.functions.scalars import present
-from cultiva.operators.ordered import fractional_ranks, prefix_sums
+from cultiva.operators.ordered import fractional_ranks, prefix_sums, row_index
 from cultiva.operators.ranking import page
+from cultiva.session import materialize
 
 # --- ranking ----------------------------------------------------------------
 
@@ -149,16 +150,15 @@ def _taxon_scores(strains: DataFrame, positives: DataFrame, level: str, minimum:
 def taxonomy_scores(
     strains: DataFrame,
     positives: DataFrame,
-    media: Sequence[str],
     minimum: int = 3,
     key: str = "bacdive_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Genus, else family, else global popularity.
 
     ``strains``: key, fold, genus, family. Returns the level and taxon used for
-    every strain, and ``(fold, level, taxon, medium_id, score)`` for exactly the
-    taxa in use and all ``media``. Strains of one taxon share their scores, so
-    no strains-by-media table is built.
+    every strain, and ``(fold, level, taxon, medium_id, score)`` of the taxa in use and
+    the media with a score above 0; all others have the score 0. Strains of one
+    taxon share their scores, so no strains-by-media table is built.
     """
     genus_scores, genus_ok = _taxon_scores(strains, positives, "genus", minimum, key)
     family_scores, family_ok = _taxon_scores(strains, positives, "family", minimum, key)
@@ -184,13 +184,38 @@ def taxonomy_scores(
         )
     )
     taxa = used.select("fold", "level", "taxon").distinct()
-    grid = taxa.withColumn("medium_id", F.explode(F.array(*[F.lit(m) for m in media])))
-    scores = grid.join(found, ["fold", "level", "taxon", "medium_id"], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
-    )
+    scores = found.filter("score > 0").join(taxa, ["fold", "level", "taxon"], "left_semi")
     return used, scores
 
 
+def sparse_ranks(
+    wanted: DataFrame, scores: DataFrame, media: DataFrame, row: Sequence[str], medium: str = "medium_id"
+) -> DataFrame:
+    """Add ``rank`` to ``wanted`` (``row`` and ``medium``), where only scores above 0 are listed.
+
+    Ranks go by falling score, equal ones by medium id, over all ``media``. A medium
+    without a score comes after the ones with a score, at its place by id among the
+    media without one: its place among all, less those before it that have a score. The
+    windows hold the media of one row, so they are bounded by the media.
+    """
+    row = list(row)
+    ranked = rank_scores(scores, row, medium)
+    numbered = row_index(media.select(medium).distinct(), [medium], into="_place")
+    listed = scores.select(*row, medium, F.lit(1).alias("_above")).unionByName(
+        wanted.select(*row, medium).distinct().withColumn("_above", F.lit(0))
+    )
+    counted = listed.groupBy(*row, medium).agg(F.max("_above").alias("_above"), F.count(F.lit(1)).alias("_n"))
+    of_row = W.partitionBy(*row)
+    before = of_row.orderBy(medium).rowsBetween(W.unboundedPreceding, -1)
+    missing = counted.withColumns(
+        {"_all": F.sum("_above").over(of_row), "_before": F.coalesce(F.sum("_above").over(before), F.lit(0))}
+    ).filter("_above = 0").join(numbered, medium)
+    last = missing.select(
+        *row, medium, (F.col("_all") + F.col("_place") - F.col("_before") + 1).cast("int").alias("rank")
+    )
+    return wanted.join(ranked.select(*row, medium, "rank").unionByName(last), [*row, medium])
+
+
 # --- regression -------------------------------------------------------------
 
 
@@ -410,6 +435,23 @@ def _normal_tail(z: Column) -> Column:
     return F.least(t * F.exp(-x * x + poly), F.lit(1.0))
 
 
+def _same_rows(table: DataFrame, n: int) -> list[int]:
+    """For each of the columns ``x0 ..`` the first one that has values in the same rows.
+
+    Sets of rows are told apart by their size and four sums of row hashes, from one pass.
+    """
+    row = [F.xxhash64(*table.columns, F.lit(seed)) % (1 << 24) for seed in range(4)]
+    present_ = [F.col(f"x{i}").isNotNull() for i in range(n)]
+    marks = table.agg(
+        *[
+            F.struct(F.count_if(p), *[F.coalesce(F.sum(F.when(p, h)), F.lit(0)) for h in row]).alias(f"m{i}")
+            for i, p in enumerate(present_)
+        ]
+    ).first()
+    found: dict[tuple, int] = {}
+    return [found.setdefault(tuple(marks[f"m{i}"]), i) for i in range(n)]
+
+
 def spearman(
     df: DataFrame, features: Sequence[str], target: str, top_n: int | None = 15, minimum: int = 30
 ) -> DataFrame:
@@ -421,14 +463,33 @@ def spearman(
     if target not in df.columns:
         return df.sparkSession.createDataFrame([], "feature string, n bigint, spearman_rho double, p_value double")
     labelled = df.filter(present(df, target)).select(
-        F.col(target).cast("double").alias("y"), *features
-    )
-    pairs = unpivot(labelled, features, ["y"])
-
-    def ranks(value: str, into: str) -> DataFrame:
-        return fractional_ranks(pairs, ["feature"], value, into).drop("n")
-
-    both = pairs.join(ranks("x", "rx"), ["feature", "x"]).join(ranks("y", "ry"), ["feature", "y"])
+        F.col(target).cast("double").alias("y"),
+        *[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, f in enumerate(features)],
+    )
+    leader = _same_rows(labelled, len(features))
+    # Values of the features, and of the target once per set of rows.
+    named = [
+        F.struct(F.lit(i).alias("of"), F.col(f"x{i}").alias("value")) for i in range(len(features))
+    ] + [
+        F.struct(F.lit(-1 - i).alias("of"), F.when(F.col(f"x{i}").isNotNull(), F.col("y")).alias("value"))
+        for i in sorted(set(leader))
+    ]
+    values_ = labelled.select(F.inline(F.array(*named))).filter(F.col("value").isNotNull())
+    ranks = materialize(fractional_ranks(values_, ["of"], "value").select("of", "value", "rank"))
+    pairs = labelled.select(
+        "y",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(f).alias("feature"), F.lit(i).alias("of"), F.lit(-1 - leader[i]).alias("of_y"), F.col(f"x{i}").alias("x"))
+                    for i, f in enumerate(features)
+                ]
+            )
+        ),
+    ).filter(F.col("x").isNotNull())
+    of_x = ranks.select("of", F.col("value").alias("x"), F.col("rank").alias("rx"))
+    of_y = ranks.select(F.col("of").alias("of_y"), F.col("value").alias("y"), F.col("rank").alias("ry"))
+    both = pairs.join(of_x, ["of", "x"]).join(of_y, ["of_y", "y"])
     rx, ry = F.col("rx"), F.col("ry")
     # Ranks average (n + 1) / 2, so plain sums are enough and one pass does it.
     sums = both.groupBy("feature").agg(

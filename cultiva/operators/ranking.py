@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cultiva import values
+from cultiva.functions.scalars import draw
 from cultiva.operators.ordered import row_index
 
 
@@ -210,6 +211,18 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFr
 
     ``key`` must be unique; a sample at least as large as the table is the table.
     """
-    order = F.xxhash64(*key, F.lit(seed))
-    numbered = row_index(df.withColumn("_hash", order), ["_hash", *key], into="_row")
-    return numbered.filter(F.col("_row") < n).drop("_row", "_hash")
+    numbered = row_index(df.withColumn("_draw", draw(key, seed)), ["_draw", *key], into="_row")
+    return numbered.filter(F.col("_row") < n).drop("_row", "_draw")
+
+
+def sample_genomes(df: DataFrame, n: int, key: Sequence[str], accession: str = "genome_accession", seed: int = 0) -> DataFrame:
+    """``n`` accessions with one row each, drawn twice by hash.
+
+    The row of an accession is the one whose ``key`` draws lowest, then accessions are
+    drawn like the rows of :func:`sample_n`. Rows without an accession are left out. Only
+    the lowest draw of an accession leaves a task, so an accession of very many rows is no burden.
+    """
+    known = df.filter(F.col(accession).isNotNull())
+    place = F.struct(draw(key, seed).alias("draw"), *[F.col(k) for k in key])
+    one = known.groupBy(accession).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), place).alias("_one"))
+    return sample_n(one.select("_one.*"), n, [accession], seed)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cultiva import values
 from cultiva.functions import vectors as V
+from cultiva.functions.scalars import draw
 from cultiva.operators.joins import with_category
 from cultiva.operators.ranking import top_k
 
@@ -41,7 +42,7 @@ def sample_then_pool(
     vectors: DataFrame, n: int, item: str, seed: int = 0, key: str = GENOME, column: str = "embedding"
 ) -> DataFrame:
     """Mean over ``n`` items per key drawn by hash order, the same on every run."""
-    drawn = top_k(vectors, [key], [F.xxhash64(item, F.lit(seed)), item], n, "_draw")
+    drawn = top_k(vectors, [key], [draw([item], seed), item], n, "_draw")
     return mean_pool(drawn, [key], column)
 
 

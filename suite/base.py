@@ -36,6 +36,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt over all cores by ``key``: a table of one row group would be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(*columns)
 
@@ -151,7 +156,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def contigs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as contigs of the genome named by their source."""
-    return table(spark, folder, "documents").select("source", "doc_id", "text").select(
+    return spread(table(spark, folder, "documents").select("source", "doc_id", "text"), "doc_id").select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("contig_id"),
         F.translate("text", "acgt", "ACGT").alias("seq"),
@@ -159,7 +164,7 @@ def contigs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("source", "doc_id", "text").select(
+    return spread(table(spark, folder, "documents").select("source", "doc_id", "text"), "doc_id").select(
         F.col("source").alias("genome_accession"),
         F.col("doc_id").alias("protein_idx"),
         F.translate("text", LOWER, UPPER).alias("aa"),

@@ -117,15 +117,7 @@ PRESETS = {
     ),
 )
 def catalog_presets(spark, folder):
-    full = catalog(spark, folder)
-    parts = [
-        P.catalog_preset(full, name).agg(
-            F.lit(name).alias("preset"), F.count(F.lit(1)).alias("n"),
-            F.max("pred_optimal_temperature_c").alias("hottest"),
-        )
-        for name in PRESETS
-    ]
-    return rounded(J.union_chunks(*parts))
+    return rounded(P.preset_counts(catalog(spark, folder), "pred_optimal_temperature_c", "hottest"))
 
 
 @query(

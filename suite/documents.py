@@ -8,7 +8,7 @@ from cultiva.functions import documents as D
 from cultiva.functions import scalars as S
 from cultiva.operators import documents as O
 from cultiva.sources.documents import parse_documents
-from suite.base import query, r, rounded, table, with_sql
+from suite.base import query, r, rounded, spread, table, with_sql
 
 # One JSON text per order. Shapes (absent, object, list), markers and numbers
 # follow from the order key; every 50th document is broken.
@@ -63,7 +63,7 @@ keys AS (SELECT o_orderkey AS k, o_orderkey % 40 AS a, o_orderkey % 37 + 1 AS b,
 
 def strain_docs(spark, folder):
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
-    keys = orders.selectExpr("k", *NUMBERS)
+    keys = spread(orders, "k").selectExpr("k", *NUMBERS)
     texts = keys.select(F.col("k").alias("bacdive_id"), F.expr(STRAIN_JSON).alias("value"))
     return parse_documents(texts)
 
@@ -149,7 +149,7 @@ MEDIUM_ID = "CASE WHEN k % 2 = 0 THEN k::varchar ELSE 'J' || k END"
 
 def medium_docs(spark, folder):
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
-    keys = orders.selectExpr("k", NUMBERS[0])
+    keys = spread(orders, "k").selectExpr("k", NUMBERS[0])
     return parse_documents(keys.select(F.expr(MEDIUM_JSON).alias("value")))
 
 

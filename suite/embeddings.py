@@ -53,7 +53,15 @@ def mean_pool_with_missing(spark, folder):
     return rounded(pooled.select("genome_accession", "n", F.posexplode("embedding").alias("i", "x")))
 
 
-@query("sample_then_pool")
+@query(
+    "sample_then_pool",
+    """WITH placed AS (
+  SELECT 'G' || (vec_id % 37) AS genome_accession, embedding,
+         row_number() OVER (PARTITION BY vec_id % 37 ORDER BY md5('7|' || vec_id), vec_id) AS place FROM embeddings),
+long AS (SELECT genome_accession, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM placed WHERE place <= 5)
+"""
+    + f"SELECT genome_accession, count(*) AS n, i::int AS i, {r('avg(x)')} AS x FROM long GROUP BY genome_accession, i",
+)
 def sample_then_pool(spark, folder):
     return rounded(
         V.sample_then_pool(vectors(spark, folder), 5, "protein_idx", seed=7).select(

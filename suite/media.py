@@ -127,7 +127,7 @@ def random_folds(spark, folder):
     folded = strains(spark, folder).join(kept, "bacdive_id", "left_semi")
     # genus and family only help when a taxon is spread over folds
     spread = materialize(folded.withColumn("fold", (F.col("bacdive_id") % 5).cast("int")))
-    return spread, materialize(positives), [x[0] for x in media.select("medium_id").orderBy("medium_id").collect()]
+    return spread, materialize(positives), media
 
 
 SPREAD = (
@@ -154,11 +154,11 @@ def taxonomy_recommender_topk(spark, folder):
 
 @query(
     "taxonomy_scores",
-    SPREAD + f" SELECT fold, level, taxon, medium_id, {r('score')} AS score FROM taxon_scores",
+    SPREAD + f" SELECT fold, level, taxon, medium_id, {r('score')} AS score FROM taxon_scores WHERE score > 0",
 )
 def taxonomy_scores(spark, folder):
-    spread, positives, media = random_folds(spark, folder)
-    return rounded(M.taxonomy_scores(spread, positives, media)[1])
+    spread, positives, _ = random_folds(spark, folder)
+    return rounded(M.taxonomy_scores(spread, positives)[1])
 
 
 @query(
@@ -189,7 +189,10 @@ def group_folds_query(spark, folder):
     return folded.select("bacdive_id", "group", "fold")
 
 
-@query("random_folds")
+@query(
+    "random_folds",
+    with_sql(STRAINS_SQL) + "SELECT bacdive_id, (('0x' || substr(md5('42|' || bacdive_id), 1, 8))::bigint % 5)::int AS fold FROM strains",
+)
 def random_folds_query(spark, folder):
     return strains(spark, folder).select(
         "bacdive_id", random_fold(F.col("bacdive_id"), 5, seed=42).alias("fold")

@@ -104,12 +104,23 @@ def page_of_orders(spark, folder):
     return W.page(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 80, 6)
 
 
-@query("sample_of_lines")
+@query("sample_of_lines", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 500")
 def sample_of_lines(spark, folder):
     lines = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return W.sample_n(lines, 500, ["o_orderkey"], seed=0)
 
 
+@query(
+    "sample_of_genomes",
+    """WITH one AS (SELECT o_custkey AS genome_accession, arg_min(o_orderkey, (md5('3|' || o_orderkey), o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey)
+SELECT * FROM one ORDER BY md5('3|' || genome_accession), genome_accession LIMIT 200""",
+)
+def sample_of_genomes(spark, folder):
+    """Customers as accessions with several strains each, their orders."""
+    strains = table(spark, folder, "orders").select(F.col("o_custkey").alias("genome_accession"), "o_orderkey")
+    return W.sample_genomes(strains, 200, ["o_orderkey"], seed=3)
+
+
 @query("sample_larger_than_table", "SELECT s_suppkey, s_name FROM supplier")
 def sample_larger_than_table(spark, folder):
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")

@@ -26,7 +26,7 @@ def test_taxonomic_fallback(spark):
         "bacdive_id int, fold int, genus string, family string",
     )
     positives = spark.createDataFrame([(11, "A"), (12, "A"), (13, "B"), (14, "B"), (21, "B")], "bacdive_id int, medium_id string")
-    used, scores = M.taxonomy_scores(strains, positives, ["A", "B"])
+    used, scores = M.taxonomy_scores(strains, positives)
     levels = {r["bacdive_id"]: (r["level"], r["taxon"]) for r in used.collect()}
     assert levels[31] == ("genus", "Ga") and levels[32] == ("global", "")
     got = {(r["fold"], r["level"], r["medium_id"]): r["score"] for r in scores.collect()}
@@ -34,6 +34,18 @@ def test_taxonomic_fallback(spark):
     assert (got[1, "global", "A"], got[1, "global", "B"]) == (0.4, 0.6)
 
 
+def test_sparse_ranks_are_those_of_the_whole_grid(spark):
+    rng = np.random.default_rng(8)
+    media = [f"m{i:02d}" for i in range(12)]
+    scores = {(t, m): float(rng.integers(1, 4)) for t in "abc" for m in media if rng.random() < 0.4}
+    grid = {t: sorted(media, key=lambda m: (-scores.get((t, m), 0.0), m)) for t in "abcd"}
+    frame = spark.createDataFrame([(t, m, s) for (t, m), s in scores.items()], "taxon string, medium_id string, score double")
+    wanted = spark.createDataFrame([(i, t, m) for i, (t, m) in enumerate((t, m) for t in "abcd" for m in media[::2] * 2)], "id int, taxon string, medium_id string")
+    got = M.sparse_ranks(wanted, frame, spark.createDataFrame([(m,) for m in media], "medium_id string"), ["taxon"]).collect()
+    assert len(got) == wanted.count()
+    assert all(r["rank"] == grid[r["taxon"]].index(r["medium_id"]) + 1 for r in got)
+
+
 def brute_auc(y, s):
     pos, neg = s[y == 1], s[y == 0]
     wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
