@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from cultiva import values
 from cultiva.functions.scalars import present
-from cultiva.operators.ordered import fractional_ranks, prefix_sums, row_index
+from cultiva.operators.ordered import prefix_sums, row_index
 from cultiva.operators.ranking import page
-from cultiva.session import materialize
 
 # --- ranking ----------------------------------------------------------------
 
@@ -467,38 +466,33 @@ def spearman(
         *[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, f in enumerate(features)],
     )
     leader = _same_rows(labelled, len(features))
-    # Values of the features, and of the target once per set of rows.
-    named = [
-        F.struct(F.lit(i).alias("of"), F.col(f"x{i}").alias("value")) for i in range(len(features))
-    ] + [
-        F.struct(F.lit(-1 - i).alias("of"), F.when(F.col(f"x{i}").isNotNull(), F.col("y")).alias("value"))
-        for i in sorted(set(leader))
-    ]
-    values_ = labelled.select(F.inline(F.array(*named))).filter(F.col("value").isNotNull())
-    ranks = materialize(fractional_ranks(values_, ["of"], "value").select("of", "value", "rank"))
-    pairs = labelled.select(
-        "y",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("feature"), F.lit(i).alias("of"), F.lit(-1 - leader[i]).alias("of_y"), F.col(f"x{i}").alias("x"))
-                    for i, f in enumerate(features)
-                ]
-            )
-        ),
-    ).filter(F.col("x").isNotNull())
-    of_x = ranks.select("of", F.col("value").alias("x"), F.col("rank").alias("rx"))
-    of_y = ranks.select(F.col("of").alias("of_y"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-    both = pairs.join(of_x, ["of", "x"]).join(of_y, ["of_y", "y"])
-    rx, ry = F.col("rx"), F.col("ry")
+    # The target is ranked once per set of rows, all sets in one sorted pass over its values.
+    sets = sorted(set(leader))
+    counts = labelled.groupBy("y").agg(*[F.count_if(F.col(f"x{i}").isNotNull()).alias(f"n{i}") for i in sets])
+    ordered = prefix_sums(counts, [], ["y"], [f"n{i}" for i in sets])
+    of_y = ordered.select("y", *[(F.col(f"n{i}_before") + (F.col(f"n{i}") + 1) / 2).alias(f"r{i}") for i in sets])
+    entries = F.array(
+        *[
+            F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("x"), F.col(f"r{leader[i]}").alias("ry"))
+            for i, f in enumerate(features)
+        ]
+    )
+    pairs = labelled.join(of_y, "y").select(F.inline(entries)).filter(F.col("x").isNotNull())
+    # Rows of one value share its rank, so their sums are enough.
+    ry = F.col("ry")
+    by_value = pairs.groupBy("feature", "x").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(ry).alias("sy"), F.sum(ry * ry).alias("syy")
+    )
+    ranked = prefix_sums(by_value, ["feature"], ["x"], ["n"])
+    rx = F.col("n_before") + (F.col("n") + 1) / 2
     # Ranks average (n + 1) / 2, so plain sums are enough and one pass does it.
-    sums = both.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(rx).alias("sx"),
-        F.sum(ry).alias("sy"),
-        F.sum(rx * rx).alias("sxx"),
-        F.sum(ry * ry).alias("syy"),
-        F.sum(rx * ry).alias("sxy"),
+    sums = ranked.groupBy("feature").agg(
+        F.sum(rx * F.col("n")).alias("sx"),
+        F.sum("sy").alias("sy"),
+        F.sum(rx * rx * F.col("n")).alias("sxx"),
+        F.sum("syy").alias("syy"),
+        F.sum(rx * F.col("sy")).alias("sxy"),
+        F.sum("n").alias("n"),
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx = F.col("sxx") - sx * sx / n

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cultiva.operators.ordered import row_index
+from cultiva.session import materialize
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".jsonl": "json", ".json": "json"}
 
@@ -97,6 +98,13 @@ def with_chunks(
     return indexed.withColumn("chunk", chunk_name(stem, start, stop)).drop("_row", "_rows")
 
 
+def chunk_marks(df: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """``(chunk, n, mark)``: rows of every chunk, and a sum of hashes of their values in any order."""
+    values = sorted(c for c in df.columns if c != chunk)
+    mark = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in values]) % (1 << 24))
+    return df.groupBy(F.col(chunk).cast("string").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), mark.alias("mark"))
+
+
 def write_chunks(
     df: DataFrame,
     size: int,
@@ -108,13 +116,23 @@ def write_chunks(
 ) -> DataFrame:
     """Write fixed-size chunks as partitions of ``path`` and return the whole table.
 
-    With ``resume`` the chunks already present are left alone.
+    A manifest below ``path`` gets the number of rows and a checksum of every chunk once
+    its rows are written. With ``resume`` a chunk whose rows still agree with the
+    manifest is left alone; one that is short, or was never entered because the run
+    died, replaces what is there.
     """
     spark = df.sparkSession
     chunks = with_chunks(df, size, order_by, stem, offset)
-    done = _existing(spark, path, ["chunk"]) if resume else None
-    if done is not None:
-        chunks = chunks.join(done, "chunk", "left_anti")
-    mode = "append" if resume else "overwrite"
-    chunks.write.mode(mode).partitionBy("chunk").parquet(path)
+    manifest = f"{path}/_manifest"
+    entered = _existing(spark, manifest, ["chunk", "n", "mark"]) if resume else None
+    if entered is not None:
+        there = _existing(spark, path, chunks.columns)
+        if there is not None:
+            whole = chunk_marks(there).join(entered, ["chunk", "n", "mark"], "left_semi")
+            chunks = chunks.join(whole.select("chunk"), "chunk", "left_anti")
+    marks = materialize(chunk_marks(chunks))
+    # Only the partitions that are written now are replaced.
+    kept = "dynamic" if resume else "static"
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", kept).partitionBy("chunk").parquet(path)
+    marks.write.mode("append" if resume else "overwrite").parquet(manifest)
     return spark.read.parquet(path)

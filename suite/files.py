@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cultiva.session import shared_scratch
-from cultiva.sources.annotations import scan_modules
+from cultiva.sources.annotations import scan_modules, scan_trait_predictions
+from cultiva.sources.documents import scan_documents
 from cultiva.sources.sequences import scan_fasta, write_fasta
 from suite.base import REGISTRY, query, table
 from suite.rules import module_records
@@ -37,3 +38,58 @@ def module_files(spark, folder):
     module_records(spark, folder).select(F.concat("value", F.lit("///")).alias("value")).write.text(place)
     rows = scan_modules(spark, place)
     return rows.withColumn("ko_list", F.array_join("ko_list", "|"))
+
+
+def one_file_each(rows, place, suffix):
+    """``name`` and ``value`` as files ``name.suffix`` below ``place``."""
+    spark = rows.sparkSession
+    rows.repartition("name").write.partitionBy("name").text(f"{place}-parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(place))
+    for found in store.globStatus(path(f"{place}-parts/name=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("name=")
+        store.rename(found.getPath(), path(f"{place}/{name}.{suffix}"))
+
+
+@query(
+    "trait_prediction_files",
+    """SELECT 'GCA_' || lpad(s_suppkey::varchar, 9, '0') || '.1' AS genome_accession, (s_suppkey % 60 + 0.5)::double AS external_temperature_c,
+  CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 14) / 2.0::double END AS external_ph, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'tolerant' END AS external_oxygen
+FROM supplier""",
+)
+def trait_prediction_files(spark, folder):
+    """One tab-separated file per supplier, written and scanned."""
+    place = f"{shared_scratch(spark)}/traits"
+    k = F.col("s_suppkey")
+    rows = table(spark, folder, "supplier").select(
+        F.concat(F.lit("GCA_"), F.lpad(k.cast("string"), 9, "0"), F.lit(".1")).alias("name"),
+        F.concat_ws(
+            "\n", F.lit("\tvalue\terror"), F.concat(F.lit("temperature_optimum\t"), (k % 60 + 0.5).cast("string"), F.lit("\t1.5")),
+            F.concat(F.lit("ph_optimum\t"), F.when(k % 3 != 0, ((k % 14) / 2).cast("string")).otherwise(""), F.lit("\t0.25")),
+            F.concat(F.lit("oxygen\t"), F.when(k % 5 != 0, "tolerant").otherwise(""), F.lit("\t0.9")),
+        ).alias("value"),
+    )
+    one_file_each(rows, place, "tsv")
+    return scan_trait_predictions(spark, place).select(
+        "genome_accession", "external_temperature_c", "external_ph", "external_oxygen"
+    )
+
+
+@query(
+    "document_files",
+    """SELECT s_suppkey AS bacdive_id, 'G' || (s_suppkey % 7) AS genus FROM supplier WHERE s_suppkey % 10 NOT IN (3, 7)""",
+)
+def document_files(spark, folder):
+    """One JSON file per supplier; broken ones and names that are no numbers are skipped."""
+    place = f"{shared_scratch(spark)}/documents"
+    k = F.col("s_suppkey")
+    rows = table(spark, folder, "supplier").select(
+        F.when(k % 10 == 3, F.concat(F.lit("note"), k)).otherwise(k.cast("string")).alias("name"),
+        F.concat(
+            F.lit('{"Name and taxonomic classification": {"genus": "G'), k % 7, F.when(k % 10 == 7, '"}').otherwise('"}}')
+        ).alias("value"),
+    )
+    one_file_each(rows, place, "json")
+    genus = F.try_variant_get("doc", "$['Name and taxonomic classification'].genus", "string")
+    return scan_documents(spark, place).select("bacdive_id", genus.alias("genus"))

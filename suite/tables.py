@@ -69,7 +69,7 @@ def chunk_names(spark, folder):
 def write_chunks_with_resume(spark, folder):
     place = shared_scratch(spark)
     part = table(spark, folder, "part").select("p_partkey", "p_name")
-    S.write_chunks(part, 64, f"{place}/chunks", ["p_partkey"], "part")
+    S.write_chunks(part.filter("p_partkey < 64"), 64, f"{place}/chunks", ["p_partkey"], "part")
     return S.write_chunks(part, 64, f"{place}/chunks", ["p_partkey"], "part").drop("chunk")
 
 
