@@ -75,7 +75,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folders: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def written(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
         """Write ``df``, read it back, and delete the table it replaces.
@@ -87,12 +87,18 @@ class Scratch:
         table = self.spark.read.schema(df.schema).parquet(folder)
         if instead_of is not None:
             self.delete(instead_of)
-        self.folders[id(table)] = folder
+        self.tables.append((table, folder))
         return table
 
     def delete(self, table: DataFrame) -> None:
         """Delete a table written here; nothing may read it any more."""
-        folder = self.folders.pop(id(table), None)
-        if folder is not None:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for kept, folder in self.tables:
+            if kept is table:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = [t for t in self.tables if t[0] is not table]
+
+    def clear(self) -> None:
+        """Delete all tables written here that are still there."""
+        for table, _ in list(self.tables):
+            self.delete(table)
