@@ -208,14 +208,13 @@ def popularity_benchmark(
 
 
 def taxonomy_benchmark(
-    strains: DataFrame, positives: DataFrame, media: Sequence[str], ks: Sequence[int] = (1, 3, 5),
+    strains: DataFrame, positives: DataFrame, media: DataFrame, ks: Sequence[int] = (1, 3, 5),
     minimum: int = 3, key: str = "bacdive_id",
 ) -> DataFrame:
-    """Top-k metrics of ranking media by popularity within genus, family or all."""
-    used, scores = M.taxonomy_scores(strains, positives, media, minimum, key)
-    taxon = ["fold", "level", "taxon"]
-    ranks = M.rank_scores(scores, taxon)
-    ranked = positives.join(used, key).join(ranks, [*taxon, "medium_id"])
+    """Top-k metrics of ranking ``media`` by popularity within genus, family or all."""
+    used, scores = M.taxonomy_scores(strains, positives, minimum, key)
+    wanted = positives.join(used, key)
+    ranked = M.sparse_ranks(wanted, scores, media, ["fold", "level", "taxon"])
     return M.topk_metrics(ranked, [key], ks)
 
 
