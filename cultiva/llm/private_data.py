@@ -50,6 +50,13 @@ PROSE_BEFORE_AT = (
     "shop shown site sold staff start started stored story submitted team that the them there these this those "
     "to today up us viewed visit was watch we website were which with work worked working works write you"
 ).split()
+# Words that announce an address in the three words before it.
+ADDRESS_CUES = (
+    "mail e-mail email emails write writing reach send sent address contact "
+    "kontakt kontaktieren schreiben schreibe adresse mailen "
+    "courriel mél écrire écrivez contacter contactez adressez "
+    "correo escribir escriba escríbanos contactar dirección"
+).split()
 # --- end of fixed values ------------------------------------------------------
 
 # Full-width forms of ASCII, and the ten digits of other scripts.
@@ -88,6 +95,10 @@ _AT = re.compile(
 _DOT = re.compile(rf"(?<=[A-Za-z0-9]){_HIDDEN_DOT}(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_PLAIN = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9]")
 _PROSE = frozenset(PROSE_BEFORE_AT)
+_CUES = frozenset(ADDRESS_CUES)
+_CUE_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_LETTER = re.compile(r"[A-Za-z]")
+_ADDRESS_SIGN = re.compile(r"[._+0-9]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -232,13 +243,23 @@ def _chain_item(item: str) -> str:
 
 
 def _at(match: re.Match) -> str | None:
-    """``@``, but for a bare "at" between prose and a plain domain."""
+    """``@``; a bare "at" before a plain domain needs a sign of an address.
+
+    That is a dot, digit, ``_`` or ``+`` within the left part, or a word such as "mail"
+    or "write" among the three before it. Everything else is prose ("at example.org").
+    """
     text, start = match.string, match.start()
     if match.group().strip(" ").lower() != "at" or not _AT_PLAIN.match(text, match.end()):
         return "@"
     while start > 0 and text[start - 1] in _LOCAL:
         start -= 1
-    return None if text[start : match.start()].lower() in _PROSE else "@"
+    local = text[start : match.start()].strip("._%+-")
+    if local.lower() in _PROSE or not _LETTER.search(local):
+        return None
+    if _ADDRESS_SIGN.search(local):
+        return "@"
+    before = _CUE_WORD.findall(text[max(0, start - 60) : start].lower())[-3:]
+    return "@" if any(word in _CUES for word in before) else None
 
 
 def deobfuscated(text: str) -> Mapped | None:

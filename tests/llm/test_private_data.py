@@ -97,6 +97,23 @@ def test_prose_around_at_and_dots_stays_clean():
         assert find_spans(text) == []
 
 
+def test_bare_at_needs_a_sign_of_an_address():
+    clean = (
+        "We met Thursday at example.org for lunch.", "The conference was held at fossa.io", "see Fig. 3 at cell.com",
+        "Wir trafen uns Dienstag at example.org zum Essen", "Die Tagung fand at fossa.io statt",
+        "Nous avons mangé jeudi at example.org ensemble", "La conférence eut lieu at fossa.io",
+        "Nos vimos el jueves at example.org para comer", "La reunión fue at fossa.io", "contact us at example.org",
+    )
+    for text in clean:
+        assert find_spans(text) == []
+    for text, source in (
+        ("reach curator at strains.org", "curator at strains.org"), ("Kontakt: mueller at strains.org", "mueller at strains.org"),
+        ("écrivez à dupont at strains.org", "dupont at strains.org"), ("correo de perez at strains.org", "perez at strains.org"),
+        ("ask ana_p at strains.org", "ana_p at strains.org"), ("ask curator [at] strains.org", "curator [at] strains.org"),
+    ):
+        assert [text[a:b] for a, b, _, _ in find_spans(text)] == [source]
+
+
 def test_rows_and_masks(samples, edge_rows):
     rows = [*edge_rows, (20, "mail a@b.org or +1 (555) 010-9999 é 10.0.0.1")]
     out = {r["bacdive_id"]: r["found"] for r in find_private_data(samples(rows)).collect()}
