@@ -19,6 +19,7 @@ from cultiva.llm.kernels import (
 )
 from cultiva.llm.sketches import merged_sketch
 from cultiva.llm.tables import components, written
+from cultiva.session import Scratch
 
 MIN_WORDS = 3
 FUZZY_WORDS = 8
@@ -307,14 +308,16 @@ def _verified(batches, percent: int) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, lines: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the unique line pairs that are similar by edits."""
     wanted = pairs.sparkSession.sparkContext.broadcast(merged_sketch(pairs, _pair_hashes, 2, LOG_WANTED_CELLS))
     some = arrow_map(lines, partial(_marked, wanted=wanted), "cls bigint, line string")
     left = some.select(F.col("cls").alias("a"), F.col("line").alias("x"))
     right = some.select(F.col("cls").alias("b"), F.col("line").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(arrow_map(joined, partial(_verified, percent=percent), "a bigint, b bigint"))
+    linked = scratch.written(arrow_map(joined, partial(_verified, percent=percent), "a bigint, b bigint"))
+    wanted.destroy()
+    return linked
 
 
 def _rebuilt(batches, text: str) -> Iterator[pa.RecordBatch]:
@@ -351,7 +354,7 @@ def remove_fuzzy_lines(
     text: str = "iso_sample_text",
     min_words: int = MIN_WORDS,
     percent: int = EDIT_PERCENT,
-    digits: bool = False,
+    digits: bool = True,
 ) -> DataFrame:
     """Isolation texts with one occurrence of each group of similar lines.
 
@@ -360,10 +363,8 @@ def remove_fuzzy_lines(
 
     Lines are split at line feeds and normalised: lower case, signs and white space
     as single blanks. Lines of fewer than ``min_words`` words are never removed. Lines
-    equal after normalising are one class. With ``digits``, as the query and the
-    pipeline ask for, digits are part of a line; without, each is a 0, and lines of
-    numbers of the same width are copies. To find candidates, digits are always
-    folded to 0: classes of ``FUZZY_WORDS`` words or more get a 64-bit
+    equal after normalising are one class; digits are part of a line, unless ``digits`` is
+    False. To find candidates, digits are folded to 0: classes of ``FUZZY_WORDS`` words or more get a 64-bit
     SimHash of such words, shorter ones a hash of all of them in order. Two classes
     are linked when these differ in at most ``DISTANCE`` bits, which shared block
     keys find without fail, and at most ``100 - percent`` percent of the longer
@@ -391,33 +392,38 @@ def remove_fuzzy_lines(
         )
     )
     texts = samples.select(text)
-    classes = written(lines.filter("sim is not null").groupBy("cls").agg(F.min("sim").alias("sim")))
+    scratch = Scratch(samples.sparkSession)
+    classes = scratch.written(lines.filter("sim is not null").groupBy("cls").agg(F.min("sim").alias("sim")))
     shared = samples.sparkSession.sparkContext.broadcast(merged_sketch(classes, _key_hashes, 2, LOG_KEY_CELLS))
-    rows = written(arrow_map(classes, partial(_key_rows, shared=shared), "token bigint, cls bigint, sim bigint"))
+    rows = scratch.written(arrow_map(classes, partial(_key_rows, shared=shared), "token bigint, cls bigint, sim bigint"))
+    shared.destroy()
+    scratch.delete(classes)
     near = arrow_map(
         rows.repartition("token").sortWithinPartitions("token"), _near_classes, "cls bigint"
     ).distinct()
     wanted = samples.sparkSession.sparkContext.broadcast(merged_sketch(near, _class_hashes, 2, LOG_WANTED_CELLS))
-    held = written(
+    held = scratch.written(
         arrow_map(texts, partial(_wanted_lines, text=text, wanted=wanted, digits=digits), "cls bigint, line string")
         .groupBy("cls")
         .agg(F.min("line").alias("line"))
     )
-    stars = written(
+    wanted.destroy()
+    stars = scratch.written(
         arrow_map(
             rows.repartition("token").sortWithinPartitions("token"), _star_pairs, "a bigint, b bigint"
         ).distinct()
     )
-    links = _links(stars, held, percent)
-    found = components(links).withColumnRenamed("node", "cls")
+    links = _links(stars, held, percent, scratch)
+    found = scratch.written(components(links)).withColumnRenamed("node", "cls")
     labelled = rows.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rest = arrow_map(
         labelled.repartition("token").sortWithinPartitions("token"), _rest_pairs, "a bigint, b bigint"
     ).distinct()
     # Pairs verified already need no second look.
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(_links(rest, held, percent))
-    of_class = components(links).withColumnRenamed("node", "cls")
+    rest = scratch.written(rest.join(stars, ["a", "b"], "left_anti"))
+    links = links.unionByName(_links(rest, held, percent, scratch))
+    of_class = written(components(links)).withColumnRenamed("node", "cls")
+    scratch.clear()
 
     grouped = written(
         lines.select(key, "_doc", "line", "cls")

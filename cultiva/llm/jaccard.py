@@ -17,6 +17,7 @@ from cultiva.llm.kernels import (
 )
 from cultiva.llm.sketches import merged_sketch
 from cultiva.llm.tables import components, written
+from cultiva.session import Scratch
 
 NGRAM = 4
 PERCENT = 85
@@ -418,17 +419,19 @@ class _Join:
         self.texts, self.text, self.percent = texts, text, percent
         context = texts.sparkSession.sparkContext
         self.context = context
+        self.scratch = Scratch(texts.sparkSession)
         self.frequency = context.broadcast(bucket_frequencies(texts, text, n))
         self.common = {"text": text, "n": n, "percent": percent, "frequency": self.frequency}
 
     def keep_sets(self, classes: DataFrame) -> None:
         """Write the whole sets of ``classes``, a table of unique ``cls``."""
         wanted = self.context.broadcast(merged_sketch(classes, _class_hashes, 2, LOG_WANTED_CELLS))
-        self.sets = written(
+        self.sets = self.scratch.written(
             arrow_map(self.texts, partial(_wanted_sets, wanted=wanted, **self.common), "cls bigint, tokens binary")
             .groupBy("cls")
             .agg(F.min("tokens").alias("tokens"))
         )
+        wanted.destroy()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the unique class pairs that link, by their whole sets."""
@@ -436,13 +439,15 @@ class _Join:
         sets = arrow_map(self.sets, partial(_marked, wanted=wanted), "cls bigint, tokens binary")
         left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-        return written(
+        linked = self.scratch.written(
             arrow_map(
                 pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"),
                 partial(_verified, percent=self.percent),
                 "a bigint, b bigint",
             )
         )
+        wanted.destroy()
+        return linked
 
 
 LOG_TOKEN_CELLS = 26
@@ -485,6 +490,7 @@ def jaccard_components(
     """
     chosen, fields, drop = carried(samples, key, text, carry)
     join = _Join(chosen.select(text), text, ngram, percent)
+    scratch = join.scratch
     members = written(
         arrow_map(
             chosen,
@@ -496,21 +502,22 @@ def jaccard_components(
     shared = join.context.broadcast(
         merged_sketch(heads.select("prefix", "bitmap", "grp"), _prefix_hashes, 2, LOG_TOKEN_CELLS)
     )
-    rows = written(
+    rows = scratch.written(
         arrow_map(
             heads.select("cls", "grp", "n_shingles", "prefix", "bitmap"),
             partial(_bucket_rows, shared=shared),
             "token bigint, cls bigint, grp bigint, size bigint, place int",
         )
     )
-    known = written(
+    shared.destroy()
+    known = scratch.written(
         heads.filter("bitmap is not null")
         .groupBy("cls")
         .agg(F.min("grp").alias("grp"), F.min("n_shingles").alias("size"), F.min("bitmap").alias("bitmap"))
     )
     # Groups of the buckets, expanded to all their classes; buckets of one class go.
     expanded = rows.select("token", "grp", "place").distinct().join(known.select("cls", "grp", "size"), "grp")
-    met = written(
+    met = scratch.written(
         expanded.join(
             expanded.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter(
                 "_low < _high"
@@ -518,6 +525,7 @@ def jaccard_components(
             "token",
         )
     )
+    scratch.delete(rows)
     join.keep_sets(met.select("cls").distinct())
 
     stars = arrow_map(
@@ -528,7 +536,7 @@ def jaccard_components(
     bitmaps = known.select("cls", "size", "bitmap")
     left = bitmaps.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("bitmap").alias("x"))
     right = bitmaps.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("bitmap").alias("y"))
-    promising = written(
+    promising = scratch.written(
         arrow_map(
             stars.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y"),
             partial(_promising, percent=percent),
@@ -540,11 +548,13 @@ def jaccard_components(
         promising.select(F.col("b").alias("cls"), "a", "b", "spare")
     )
     best = ends.groupBy("cls").agg(F.max(F.struct("spare", "a", "b")).alias("_p")).select("_p.a", "_p.b")
-    tried = written(best.distinct())
+    tried = scratch.written(best.distinct())
+    scratch.delete(promising)
     links = join.verified(tried)
     for nearest in (True, False):
         # What is left: buckets whose classes lie in more than one component.
-        found = written(components(links)).withColumnRenamed("node", "cls")
+        grown = scratch.written(components(links))
+        found = grown.withColumnRenamed("node", "cls")
         labelled = met.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         open_ = (
             labelled.groupBy("token")
@@ -561,10 +571,13 @@ def jaccard_components(
             partial(_rest, percent=percent, nearest=nearest),
             "a bigint, b bigint",
         ).distinct()
-        fresh = written(rest.join(tried, ["a", "b"], "left_anti"))
+        fresh = scratch.written(rest.join(tried, ["a", "b"], "left_anti"))
+        scratch.delete(grown)
         links = links.unionByName(join.verified(fresh))
         tried = tried.unionByName(fresh)
-    of_class = components(links).withColumnRenamed("node", "cls")
+    of_class = written(components(links)).withColumnRenamed("node", "cls")
+    join.frequency.destroy()
+    scratch.clear()
     kept = [key, *[c for c in carry if c != key]]
     named = members.select(*kept, "n_shingles", "cls").join(of_class, "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))

@@ -7,8 +7,10 @@ never with a loop over characters.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,21 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS_PER_BATCH))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_released, function=function), schema)
+
+
+def _released(batches: Iterator[pa.RecordBatch], function: Callable) -> Iterator[pa.RecordBatch]:
+    """``function``, after which the worker gives back what it no longer needs.
+
+    Workers live on for later tasks; freed blocks they keep would add up over the
+    stages of a long job.
+    """
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def carried(df: DataFrame, key: str, text: str, carry) -> tuple[DataFrame, str, list[str]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cultiva.session import shared_scratch
+from cultiva.session import Scratch, shared_scratch
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -27,9 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     connected components by map and reduce: each node hands its smallest
     neighbour to its larger (then smaller) neighbours, until nothing changes.
     A node of very many neighbours costs no more than its edges: minima are
-    combined before the shuffle, and the join back is split when it is skewed.
+    combined before the shuffle, and the join back is split when it is skewed. The
+    pairs of a round are deleted once those of the next one are written.
     """
-    pairs = written(
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.written(
         edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("u < v").distinct()
     )
     size, total = pairs.count(), None
@@ -37,13 +39,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return pairs.select(F.col("v").alias("node"), F.col("u").alias("component"))
     while True:
         large = _star(pairs, larger=True)
-        small = written(_star(large, larger=False))
+        small = scratch.written(_star(large, larger=False))
+        old, pairs = pairs, small
+        scratch.delete(old)
         sums = small.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")
         ).first()
         if (sums["n"], sums["s"]) == total:
             break
-        pairs, total = small, (sums["n"], sums["s"])
+        total = (sums["n"], sums["s"])
     roots = small.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return small.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
 
