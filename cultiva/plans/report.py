@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,20 +56,19 @@ def report(
     taxonomy: DataFrame,
     features: Sequence[str],
     row_id: str,
+    only: Collection[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All sections: distributions, results, correlations and errors per family."""
+    """All sections, or those of ``only``: distributions, results, correlations, errors per family."""
     regression = predictions.filter(F.col("task") == "regression")
     with_family = regression.join(
         taxonomy.select(F.col(row_id).cast("string").alias("row_id"), "family"), "row_id", "left"
     )
-    numeric = [t for t in values.REGRESSION_TARGETS if t in dataset.columns]
-    sections = {"summary": summary(folds, dataset), "folds": folds}
-    for target in numeric:
-        sections[f"distribution_{target}"] = describe_target(dataset, target)
-        sections[f"correlations_{target}"] = M.spearman(dataset, features, target, top_n=10)
-        sections[f"family_errors_{target}"] = error_by_group(
-            with_family.filter(F.col("target") == target)
-        )
+    sections: dict[str, Callable[[], DataFrame]] = {"summary": lambda: summary(folds, dataset), "folds": lambda: folds}
+    for target in [t for t in values.REGRESSION_TARGETS if t in dataset.columns]:
+        errors = with_family.filter(F.col("target") == target)
+        sections[f"distribution_{target}"] = partial(describe_target, dataset, target)
+        sections[f"correlations_{target}"] = partial(M.spearman, dataset, features, target, top_n=10)
+        sections[f"family_errors_{target}"] = partial(error_by_group, errors)
     if "oxygen_requirement" in dataset.columns:
-        sections["oxygen_classes"] = top_values(dataset, ["oxygen_requirement"], 10)
-    return sections
+        sections["oxygen_classes"] = partial(top_values, dataset, ["oxygen_requirement"], 10)
+    return {name: make() for name, make in sections.items() if only is None or name in only}

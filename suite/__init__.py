@@ -18,6 +18,7 @@ from suite import (  # noqa: F401  (importing registers the queries)
     sequences,
     strains,
     streams,
+    study,
     tables,
 )
 
