@@ -27,6 +27,12 @@ def parse_fasta_records(records: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def genome_of_file() -> Column:
+    """Genome of the file a row was read from: its partition folder, else its name without suffix."""
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), GENOME_FOLDER, 1))
+    return F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), GENOME_FILE, 1))
+
+
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     """One row per contig.
 
@@ -34,13 +40,7 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     name without its suffix. Plain files are split across tasks at record starts; ``.gz`` files are
     readable but not splittable.
     """
-    records = spark.read.option("lineSep", "\n>").text(path).select(
-        F.coalesce(
-            F.nullif(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), GENOME_FOLDER, 1)), F.lit("")),
-            F.regexp_extract(F.col("_metadata.file_name"), GENOME_FILE, 1),
-        ).alias("genome_accession"),
-        "value",
-    )
+    records = spark.read.option("lineSep", "\n>").text(path).select(genome_of_file().alias("genome_accession"), "value")
     return parse_fasta_records(records)
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from cultiva.operators.ordered import row_index
 from cultiva.session import materialize
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".jsonl": "json", ".json": "json"}
+# Folders of a sink's key index.
+KEY_BUCKETS = 256
 
 
 def _suffix(path: str) -> str:
@@ -62,11 +65,49 @@ def _existing(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
         raise
 
 
-def append_new(df: DataFrame, key: Sequence[str], path: str, order_by: Sequence[str] = ()) -> None:
+def _bucket(key: Sequence[str], buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in key]), F.lit(buckets)).cast("int")
+
+
+def key_index(spark: SparkSession, path: str, key: Sequence[str], buckets: int = KEY_BUCKETS) -> DataFrame | None:
+    """Keys of all rows of ``path`` with their hash ``bucket``, one folder per bucket; None without rows.
+
+    The index lies below ``path`` and names the files it covers, so it never decides by
+    itself: files it does not cover, of the last append or of a run that died, are
+    entered first, and it is made anew when a file it covers is gone. An entry made
+    twice does no harm.
+    """
+    rows = _existing(spark, path, key)
+    if rows is None:
+        return None
+    index = f"{path}/_keys_{buckets}"
+    there = {unquote(f.rsplit("/", 1)[-1]) for f in rows.inputFiles()}
+    entered = _existing(spark, f"{index}/files", ["file"])
+    covered = set() if entered is None else {r["file"] for r in entered.distinct().collect()}
+    fresh, mode = there - covered, "append"
+    if not covered or covered - there:
+        fresh, mode = there, "overwrite"
+    if fresh:
+        missing = rows if mode == "overwrite" else spark.read.parquet(path).filter(
+            F.col("_metadata.file_name").isin(sorted(fresh))
+        ).select(*key)
+        keyed = missing.withColumn("bucket", _bucket(key, buckets))
+        keyed.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{index}/keys")
+        names = spark.createDataFrame([(f,) for f in sorted(fresh)], "file string")
+        names.coalesce(1).write.mode(mode).parquet(f"{index}/files")
+    # Without a row there is no bucket folder.
+    schema = StructType([rows.schema[c] for c in key]).add("bucket", IntegerType())
+    return spark.read.schema(schema).parquet(f"{index}/keys")
+
+
+def append_new(
+    df: DataFrame, key: Sequence[str], path: str, order_by: Sequence[str] = (), buckets: int = KEY_BUCKETS
+) -> None:
     """Append the rows whose key is not in ``path`` yet; safe to run again.
 
     Of several rows of a key in ``df`` the first by ``order_by`` is taken, then by
-    all other columns, so a rerun takes the same one.
+    all other columns, so a rerun takes the same one. Known keys come from
+    :func:`key_index`, of the buckets that ``df`` has keys in.
     """
     others = [c for c in df.columns if c not in key]
     first = F.min_by(F.struct(*others), F.struct(*order_by, *others)) if others else None
@@ -76,12 +117,22 @@ def append_new(df: DataFrame, key: Sequence[str], path: str, order_by: Sequence[
         fresh = df.groupBy(*key).agg(first.alias("_row")).select(
             *[F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in df.columns]
         )
-    known = _existing(df.sparkSession, path, key)
+    known = key_index(df.sparkSession, path, key, buckets)
     if known is not None:
-        fresh = fresh.join(known, list(key), "left_anti")
+        # Written once: its buckets are asked for before it is joined.
+        fresh = materialize(fresh)
+        asked = [r["bucket"] for r in fresh.select(_bucket(key, buckets).alias("bucket")).distinct().collect()]
+        stored = known_keys(known, asked).select(*[F.col(c).alias(f"_known_{i}") for i, c in enumerate(key)])
+        same = [F.col(c).eqNullSafe(F.col(f"_known_{i}")) for i, c in enumerate(key)]
+        fresh = fresh.join(stored, same, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
+def known_keys(index: DataFrame, asked: Sequence[int]) -> DataFrame:
+    """Entries of some buckets: only their folders are read."""
+    return index.filter(F.col("bucket").isin(sorted(asked)))
+
+
 def chunk_name(stem: str, start: F.Column, stop: F.Column) -> F.Column:
     """``stem_000250_000500``: zero-padded to six digits, longer numbers in full."""
     return F.format_string(f"{stem.replace('%', '%%')}_%06d_%06d", start, stop)

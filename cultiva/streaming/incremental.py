@@ -11,19 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from cultiva.operators.joins import pending
-from cultiva.sources.sequences import GENOME_FILE, parse_fasta_records
+from cultiva.sources.sequences import genome_of_file, parse_fasta_records
 from cultiva.sources.tables import append_new
 
 
 def stream_fasta(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Contigs of FASTA files as they arrive."""
+    """Contigs of FASTA files, or of partition folders with them, as they arrive."""
     reader = spark.readStream.format("text").schema("value string").option("lineSep", "\n>")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    records = reader.load(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), GENOME_FILE, 1).alias("genome_accession"),
-        "value",
-    )
+    records = reader.load(path).select(genome_of_file().alias("genome_accession"), "value")
     return parse_fasta_records(records)
 
 
@@ -39,9 +36,9 @@ def incremental_sink(
 ) -> StreamingQuery:
     """Append one row of every new key to ``out_path`` until the input is used up.
 
-    The checkpoint records which files are done. Each batch is held against the keys
-    that the sink has, so no state grows with the stream and a batch that runs again
-    after a failure adds nothing twice. ``checkpoint`` must be on storage all
+    The checkpoint records which files are done. Each batch is held against the sink's
+    key index, of which it reads the buckets it has keys in, so no state grows with the
+    stream and a batch that runs again after a failure adds nothing twice. ``checkpoint`` must be on storage all
     executors share.
     """
 

@@ -117,3 +117,47 @@ def test_metadata_columns_and_thresholds(spark, tmp_path):
     assert AN.scan_genome_metadata(spark, f"{tmp_path}/m.tsv").columns == ["accession", "checkm_completeness"]
     (tmp_path / "ko.tsv").write_text("ko\tthreshold\nK1\t12.5\nK2\t-\n")
     assert {tuple(r) for r in AN.scan_ko_thresholds(spark, f"{tmp_path}/ko.tsv").collect()} == {("K1", 12.5), ("K2", 0.0)}
+
+
+def keys_of(spark, path):
+    return sorted(r["genome_accession"] for r in spark.read.parquet(path).select("genome_accession").collect())
+
+
+def test_key_index_covers_every_file_of_a_sink(spark, tmp_path):
+    path = f"{tmp_path}/contig stats"
+
+    def rows(names):
+        return spark.createDataFrame([(n, 1.0) for n in names], "genome_accession string, gc_content double")
+
+    T.append_new(rows(["G1", "G2", None]), ["genome_accession"], path)
+    T.append_new(rows(["G2", "G3"]), ["genome_accession"], path)
+    # Rows of a run that died before anything was entered.
+    rows(["G4"]).write.mode("append").parquet(path)
+    T.append_new(rows(["G1", "G3", "G4", "G5"]), ["genome_accession"], path)
+    T.append_new(rows(["G5", None]), ["genome_accession"], path)
+    stored = [r[0] for r in spark.read.parquet(path).select("genome_accession").collect()]
+    assert sorted(k for k in stored if k) == [f"G{i}" for i in range(1, 6)] and stored.count(None) == 1
+    index = T.key_index(spark, path, ["genome_accession"])
+    assert sorted({r["genome_accession"] for r in index.filter("genome_accession is not null").collect()}) == [f"G{i}" for i in range(1, 6)]
+
+
+def test_key_index_reads_the_buckets_asked_for(spark, tmp_path):
+    path = f"{tmp_path}/sink"
+    T.append_new(spark.range(2000).withColumnRenamed("id", "bacdive_id"), ["bacdive_id"], path)
+    index = T.key_index(spark, path, ["bacdive_id"], 16)
+    asked = T.known_keys(index, [3])
+    assert "PartitionFilters: [isnotnull(bucket" in asked._jdf.queryExecution().toString()
+    assert 0 < len(asked.inputFiles()) and asked.select("bucket").distinct().count() == 1
+    assert index.count() == 2000
+
+
+def test_key_index_is_made_anew_when_a_file_is_gone(spark, tmp_path):
+    path = tmp_path / "sink"
+    one = spark.createDataFrame([("G1",)], "genome_accession string").coalesce(1)
+    T.append_new(one, ["genome_accession"], str(path))
+    T.append_new(one, ["genome_accession"], str(path))
+    for part in path.glob("*.parquet"):
+        part.unlink()
+    T.append_new(one, ["genome_accession"], str(path))
+    T.append_new(one, ["genome_accession"], str(path))
+    assert keys_of(spark, str(path)) == ["G1"]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from cultiva.operators.sequences import contig_stats
-from cultiva.sources.sequences import scan_fasta
+from cultiva.sources.sequences import scan_fasta, write_fasta
 from cultiva.streaming import incremental as T
 
 
@@ -22,6 +22,13 @@ def test_new_files_are_added_once(spark, tmp_path):
     assert len(run(spark, str(source), tmp_path)) == 3
 
 
+def test_partition_folders_as_genomes(spark, tmp_path):
+    contigs = spark.createDataFrame([("G 1", "a", "ACGT"), ("G2", "a", "GG")], "genome_accession string, contig_id string, seq string")
+    write_fasta(contigs, f"{tmp_path}/in", compression="none")
+    assert run(spark, f"{tmp_path}/in/*", tmp_path) == [("G 1", "a"), ("G2", "a")]
+    assert len(run(spark, f"{tmp_path}/in/*", tmp_path)) == 2
+
+
 def test_resume_skips_finished_genomes(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
