@@ -25,6 +25,7 @@ MIN_WORDS = 3
 FUZZY_WORDS = 8
 DISTANCE = 3
 BLOCKS = 5
+HALF_DISTANCE = 14
 EDIT_PERCENT = 90
 LOG_KEY_CELLS = 26
 LOG_WANTED_CELLS = 24
@@ -49,6 +50,32 @@ def _folded(words: pa.Array) -> pa.Array:
     return cut(_FOLD[data], ends - lengths, ends)
 
 
+# Kinds of keys, the last two bits of a token.
+_SIMHASH, _HALF, _SHORT = 0, 1, 2
+_KIND = np.uint64(3)
+# Of the signature of a short line: 56 bits for its pairs of bytes, then its length.
+_PAIR_BITS = 56
+_PAIRS = np.uint64((1 << _PAIR_BITS) - 1)
+_LONGEST = 127
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_signs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word the bits of its pairs of bytes, its code points, and whether all are ASCII.
+
+    The blanks around a word belong to its pairs, so the bits of a line are those of its words.
+    """
+    if len(words) == 0:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    data = np.frombuffer(b" " + b" ".join(words.to_pylist()) + b" ", dtype=np.uint8)
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    pairs = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
+    bits = np.uint64(1) << mixed(pairs * _ODD) % np.uint64(_PAIR_BITS)
+    points = np.add.reduceat((data[:-1] & 0xC0) != 0x80, starts, dtype=np.int64) - 1
+    return np.bitwise_or.reduceat(bits, starts), points, points == lengths
+
+
 class _Lines:
     """Lines of a block of texts, normalised, with a hash per line."""
 
@@ -60,6 +87,7 @@ class _Lines:
         codes, distinct = coded(cut(normal, word_starts, word_ends))
         exact = hashed(distinct)[codes]
         self.words = hashed(_folded(distinct))[codes]
+        self.codes, self.distinct = codes, distinct
         self.normal, self.word_starts, self.word_ends = normal, word_starts, word_ends
         self.first = np.searchsorted(word_starts, self.starts)
         self.last = np.searchsorted(word_starts, self.ends)
@@ -76,12 +104,72 @@ class _Lines:
         np.cumsum(weight, out=total[1:])
         return mixed(total[self.last] - total[self.first] + self.n_words.astype(np.uint64))
 
-    def candidates(self, of: np.ndarray) -> np.ndarray:
-        """What near lines agree on: the SimHash, of short lines the hash of their folded words."""
-        result = self._sequences(self.words)[of]
-        long = np.flatnonzero(self.n_words[of] >= FUZZY_WORDS)
-        result[long] = self.simhashes(of[long])
-        return result
+    def candidates(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What near lines agree on: a SimHash (of short lines the signature of their
+        letters) and keys of parts of the line, all keys after each other with their number
+        per line. Keys are of folded words."""
+        sim, n = np.zeros(len(of), dtype=np.uint64), self.n_words[of]
+        long, short = np.flatnonzero(n >= FUZZY_WORDS), np.flatnonzero(n < FUZZY_WORDS)
+        sim[long] = self.simhashes(of[long])
+        sim[short] = self._signatures(of[short])
+        per_line = np.where(n >= FUZZY_WORDS, 3, n + 1)
+        keys = np.zeros(int(per_line.sum()), dtype=np.uint64)
+        at = np.cumsum(per_line) - per_line
+        if len(long):
+            keys[at[long][:, None] + np.arange(3)] = self._halves(of[long])
+        if len(short):
+            keys[gather_ranges(at[short], per_line[short])] = self._but_one(of[short])
+        return sim, keys, per_line
+
+    def _halves(self, of: np.ndarray) -> np.ndarray:
+        """Keys of the first and the last words, half of the line's or of one word more.
+
+        A line and one that has a run of other words in one half, or one more word in
+        it, have such a half in common.
+        """
+        first, last, n = self.first[of], self.last[of], self.n_words[of]
+        place = self.place.astype(np.uint64) + np.uint64(1)
+        back = np.repeat(self.n_words, self.n_words).astype(np.uint64) - place + np.uint64(1)
+        zero = np.zeros(1, dtype=np.uint64)
+        ahead = np.concatenate([zero, np.cumsum(mixed(self.words + place * _ODD), dtype=np.uint64)])
+        behind = np.concatenate([zero, np.cumsum(mixed(self.words - back * _ODD), dtype=np.uint64)])
+
+        def head(m):
+            return mixed(ahead[first + m] - ahead[first] + m.astype(np.uint64) * np.uint64(2))
+
+        def tail(m):
+            return mixed(behind[last] - behind[last - m] + m.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+
+        third = np.where(n % 2 == 0, tail(n // 2 + 1), head((n + 1) // 2))
+        return np.column_stack([head(n // 2), tail((n + 1) // 2), third]) & ~_KIND | np.uint64(_HALF)
+
+    def _but_one(self, of: np.ndarray) -> np.ndarray:
+        """Keys of all words, and of all but one: lines that differ in one word, or by one, share one."""
+        first, n = self.first[of], self.n_words[of]
+        place = self.place.astype(np.uint64)
+        zero = np.zeros(1, dtype=np.uint64)
+        here = np.concatenate([zero, np.cumsum(mixed(self.words + (place + np.uint64(1)) * _ODD), dtype=np.uint64)])
+        moved = np.concatenate([zero, np.cumsum(mixed(self.words + place * _ODD), dtype=np.uint64)])
+        start, count = np.repeat(first, n + 1), np.repeat(n, n + 1)
+        left_out = gather_ranges(np.zeros(len(of), dtype=np.int64), n + 1)  # the last: none
+        total = here[start + left_out] - here[start]
+        some = left_out < count
+        end = (start + count)[some]
+        total[some] += moved[end] - moved[(start + left_out)[some] + 1]
+        return mixed(total + (count - some).astype(np.uint64)) & ~_KIND | np.uint64(_SHORT)
+
+    def _signatures(self, of: np.ndarray) -> np.ndarray:
+        """Pairs of bytes and length of a line; from them follows the least number of edits."""
+        if len(of) == 0:
+            return np.zeros(0, dtype=np.uint64)
+        bits, points, ascii_only = _word_signs(self.distinct)
+        n = self.n_words[of]
+        at = self.codes[gather_ranges(self.first[of], n)]
+        edges = np.cumsum(n) - n
+        length = np.minimum(np.add.reduceat(points[at], edges) + n - 1, _LONGEST)
+        plain = np.logical_and.reduceat(ascii_only[at], edges)
+        result = np.bitwise_or.reduceat(bits[at], edges)
+        return result | (length * 2 + ~plain).astype(np.uint64) << np.uint64(_PAIR_BITS)
 
     def simhashes(self, of: np.ndarray) -> np.ndarray:
         """64-bit SimHash of the words of some lines."""
@@ -114,14 +202,21 @@ def _new_lines(cls: np.ndarray, use: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _lines(batches, text: str, key: str, min_words: int, digits: bool) -> Iterator[pa.RecordBatch]:
-    """Every line long enough to be judged; the first of its class here has a SimHash."""
+    """Every line long enough to be judged; the first of its class here has what candidates are found by."""
     seen: set = set()
     for rows, data, bounds in text_blocks(batches, text, BLOCK_BYTES):
         lines = _Lines(data, bounds, digits)
         judged = np.flatnonzero(lines.n_words >= min_words)
         fuzzy = _new_lines(lines.cls, judged, seen)
         sim = np.zeros(len(lines.cls), dtype=np.uint64)
-        sim[fuzzy] = lines.candidates(fuzzy)
+        sim[fuzzy], keys, per_line = lines.candidates(fuzzy)
+        n_keys = np.zeros(len(lines.cls), dtype=np.int64)
+        n_keys[fuzzy] = per_line
+        # Lines of ``fuzzy`` are in the order of their classes, rows in that of the text.
+        place = np.zeros(len(lines.cls), dtype=np.int64)
+        place[fuzzy] = np.cumsum(per_line) - per_line
+        keys = keys[gather_ranges(place[judged], n_keys[judged])]
+        offsets = np.concatenate([[0], np.cumsum(n_keys[judged])]).astype(np.int32)
         has = np.zeros(len(lines.cls), dtype=bool)
         has[fuzzy] = True
         owner = owners(lines.bounds)[judged]
@@ -132,6 +227,7 @@ def _lines(batches, text: str, key: str, min_words: int, digits: bool) -> Iterat
                 "line": pa.array(judged - lines.bounds[:-1][owner], pa.int32()),
                 "cls": pa.array(to_signed(lines.cls[judged])),
                 "sim": pa.array(to_signed(sim[judged]), pa.int64(), mask=~has[judged]),
+                "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(to_signed(keys))),
             }
         )
 
@@ -151,21 +247,32 @@ def block_keys(sim: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS)
     return np.column_stack(keys)
 
 
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the lines of a batch, each with the number of its line."""
+    sim = batch.column("sim").to_numpy().view(np.uint64)
+    lists = batch.column("keys")
+    parts = lists.flatten().to_numpy().view(np.uint64)
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(sim)), sizes)
+    long = np.unique(owner[parts & _KIND == _HALF])
+    blocks = block_keys(sim[long]) & ~_KIND
+    return np.concatenate([parts, blocks.ravel()]), np.concatenate([owner, np.repeat(long, blocks.shape[1])])
+
+
 def _key_hashes(batches) -> Iterator[np.ndarray]:
     for batch in batches:
-        yield block_keys(batch.column("sim").to_numpy().view(np.uint64)).ravel()
+        yield mixed(_tokens(batch)[0])
 
 
 def _key_rows(batches, shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sim = batch.column("sim").to_numpy().view(np.uint64)
-        keys = block_keys(sim)
-        owner, column = np.nonzero(shared.value.repeated(keys.ravel()).reshape(keys.shape))
+        tokens, owner = _tokens(batch)
+        some = np.flatnonzero(shared.value.repeated(mixed(tokens)))
         yield pa.record_batch(
             {
-                "token": pa.array(to_signed(keys[owner, column])),
-                "cls": batch.column("cls").take(pa.array(owner)),
-                "sim": batch.column("sim").take(pa.array(owner)),
+                "token": pa.array(to_signed(tokens[some])),
+                "cls": batch.column("cls").take(pa.array(owner[some])),
+                "sim": batch.column("sim").take(pa.array(owner[some])),
             }
         )
 
@@ -173,8 +280,25 @@ def _key_rows(batches, shared) -> Iterator[pa.RecordBatch]:
 SMALL_BUCKET = 32
 
 
-def _near(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ np.asarray(b).view(np.uint64)) <= DISTANCE
+def _near(a: np.ndarray, b, token, percent: int) -> np.ndarray:
+    """Whether two lines of a bucket may be similar, by what the kind of its key calls for.
+
+    SimHashes differ in few bits. Signatures of short lines never refuse a similar
+    pair: an edit of an ASCII line changes at most 4 pairs of bytes, of others 10.
+    """
+    a, b = a.view(np.uint64), np.asarray(b).view(np.uint64)
+    kind = np.asarray(token).view(np.uint64) & _KIND
+    differ = a ^ b
+    limit = np.where(kind == _HALF, HALF_DISTANCE, DISTANCE)
+    short = kind == _SHORT
+    if short.any():
+        head_a, head_b = (x >> np.uint64(_PAIR_BITS) for x in (a, b))
+        longest = (np.maximum(head_a, head_b) >> np.uint64(1)).astype(np.int64)
+        per_edit = np.where((head_a | head_b) & np.uint64(1), 10, 4)
+        edits = np.where(longest < _LONGEST, (100 - percent) * longest // 100, 64)
+        differ = np.where(short, differ & _PAIRS, differ)
+        limit = np.where(short, per_edit * edits, limit)
+    return np.bitwise_count(differ) <= limit
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -182,28 +306,28 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
 
-def _star_pairs(batches) -> Iterator[pa.RecordBatch]:
+def _star_pairs(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of every line of a bucket with a pivot of it: linear in its rows."""
-    for whole in _bucket_runs(batches, ("cls", "sim"), lambda held, names: [_whole(held, names)]):
+    for whole in _bucket_runs(batches, ("cls", "sim", "token"), lambda held, names: [_whole(held, names)]):
         if whole is None:
             continue
-        (cls, sim), cuts = whole
+        (cls, sim, token), cuts = whole
         order = mixed(cls.view(np.uint64))
         least = np.repeat(np.minimum.reduceat(order, cuts[:-1]), np.diff(cuts))
         chosen = np.flatnonzero(order == least)
         bucket = np.searchsorted(cuts, chosen, "right") - 1
         pivot = np.repeat(chosen[np.unique(bucket, return_index=True)[1]], np.diff(cuts))
-        ok = (cls != cls[pivot]) & _near(sim, sim[pivot])
+        ok = (cls != cls[pivot]) & _near(sim, sim[pivot], token, percent)
         yield _pair_batch(cls[ok], cls[pivot[ok]])
 
 
-def _rest_pairs(batches) -> Iterator[pa.RecordBatch]:
+def _rest_pairs(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Near pairs of a bucket that lie in different components."""
-    columns = ("cls", "sim", "component")
+    columns = ("cls", "sim", "component", "token")
     for whole in _bucket_runs(batches, columns, lambda held, names: [_whole(held, names)]):
         if whole is None:
             continue
-        (cls, sim, component), cuts = whole
+        (cls, sim, component, token), cuts = whole
         sizes = np.diff(cuts)
         left = np.repeat(cuts[1:], sizes) - np.arange(len(cls))  # rows to the bucket's end
         small = np.repeat(sizes <= SMALL_BUCKET, sizes)
@@ -211,38 +335,38 @@ def _rest_pairs(batches) -> Iterator[pa.RecordBatch]:
         # Small buckets side by side: rows one apart, then two, and so on.
         for step in range(1, min(SMALL_BUCKET, int(sizes.max()))):
             i = np.flatnonzero(small & (left > step))
-            ok = (component[i] != component[i + step]) & _near(sim[i], sim[i + step])
+            ok = (component[i] != component[i + step]) & _near(sim[i], sim[i + step], token[i], percent)
             a.append(cls[i[ok]])
             b.append(cls[i[ok] + step])
         for k in np.flatnonzero(sizes > SMALL_BUCKET):
             at = slice(cuts[k], cuts[k + 1])
             names, number, n = np.unique(component[at], return_inverse=True, return_counts=True)
             for i in np.flatnonzero(number != n.argmax()):
-                ok = (number != number[i]) & _near(sim[at], sim[at][i])
+                ok = (number != number[i]) & _near(sim[at], sim[at][i : i + 1], token[at][:1], percent)
                 a.append(cls[at][ok])
                 b.append(np.full(int(ok.sum()), cls[at][i]))
         if a:
             yield _pair_batch(np.concatenate(a), np.concatenate(b))
 
 
-def _near_classes(batches) -> Iterator[pa.RecordBatch]:
+def _near_classes(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Lines that have a near one in a bucket: only their texts are ever compared."""
-    for whole in _bucket_runs(batches, ("cls", "sim"), lambda held, names: [_whole(held, names)]):
+    for whole in _bucket_runs(batches, ("cls", "sim", "token"), lambda held, names: [_whole(held, names)]):
         if whole is None:
             continue
-        (cls, sim), cuts = whole
+        (cls, sim, token), cuts = whole
         sizes = np.diff(cuts)
         left = np.repeat(cuts[1:], sizes) - np.arange(len(cls))
         small = np.repeat(sizes <= SMALL_BUCKET, sizes)
         near = np.zeros(len(cls), dtype=bool)
         for step in range(1, min(SMALL_BUCKET, int(sizes.max()))):
             i = np.flatnonzero(small & (left > step))
-            i = i[(cls[i] != cls[i + step]) & _near(sim[i], sim[i + step])]
+            i = i[(cls[i] != cls[i + step]) & _near(sim[i], sim[i + step], token[i], percent)]
             near[i] = near[i + step] = True
         for k in np.flatnonzero(sizes > SMALL_BUCKET):
             at = slice(cuts[k], cuts[k + 1])
             for i in np.flatnonzero(~near[at]) + cuts[k]:
-                close = _near(sim[at], sim[i]) & (cls[at] != cls[i])
+                close = _near(sim[at], sim[i : i + 1], token[i : i + 1], percent) & (cls[at] != cls[i])
                 if close.any():
                     near[at] |= close
                     near[i] = True
@@ -364,10 +488,12 @@ def remove_fuzzy_lines(
     Lines are split at line feeds and normalised: lower case, signs and white space
     as single blanks. Lines of fewer than ``min_words`` words are never removed. Lines
     equal after normalising are one class; digits are part of a line, unless ``digits`` is
-    False. To find candidates, digits are folded to 0: classes of ``FUZZY_WORDS`` words or more get a 64-bit
-    SimHash of such words, shorter ones a hash of all of them in order. Two classes
-    are linked when these differ in at most ``DISTANCE`` bits, which shared block
-    keys find without fail, and at most ``100 - percent`` percent of the longer
+    False. To find candidates, digits are folded to 0. Classes of ``FUZZY_WORDS`` words or more get a 64-bit
+    SimHash of such words; candidates differ in at most ``DISTANCE`` bits, which shared
+    block keys find without fail, or have half of their words in common and differ in
+    at most ``HALF_DISTANCE`` bits. Shorter ones are candidates when they differ in one word
+    or by one word, unless their letters show that they take more edits. Two candidates
+    are linked when at most ``100 - percent`` percent of the longer
     line must be edited to get the other. Of each connected group the occurrence
     with the smallest key, then line number, stays; a null key comes last.
 
@@ -388,18 +514,18 @@ def remove_fuzzy_lines(
         arrow_map(
             named.select(key, "_doc", text),
             partial(_lines, text=text, key=key, min_words=min_words, digits=digits),
-            f"`{key}` {kind}, _doc bigint, line int, cls bigint, sim bigint",
+            f"`{key}` {kind}, _doc bigint, line int, cls bigint, sim bigint, keys array<bigint>",
         )
     )
     texts = samples.select(text)
     scratch = Scratch(samples.sparkSession)
-    classes = scratch.written(lines.filter("sim is not null").groupBy("cls").agg(F.min("sim").alias("sim")))
+    classes = scratch.written(lines.filter("sim is not null").groupBy("cls").agg(F.min("sim").alias("sim"), F.first("keys").alias("keys")))
     shared = samples.sparkSession.sparkContext.broadcast(merged_sketch(classes, _key_hashes, 2, LOG_KEY_CELLS))
     rows = scratch.written(arrow_map(classes, partial(_key_rows, shared=shared), "token bigint, cls bigint, sim bigint"))
     shared.destroy()
     scratch.delete(classes)
     near = arrow_map(
-        rows.repartition("token").sortWithinPartitions("token"), _near_classes, "cls bigint"
+        rows.repartition("token").sortWithinPartitions("token"), partial(_near_classes, percent=percent), "cls bigint"
     ).distinct()
     wanted = samples.sparkSession.sparkContext.broadcast(merged_sketch(near, _class_hashes, 2, LOG_WANTED_CELLS))
     held = scratch.written(
@@ -410,14 +536,14 @@ def remove_fuzzy_lines(
     wanted.destroy()
     stars = scratch.written(
         arrow_map(
-            rows.repartition("token").sortWithinPartitions("token"), _star_pairs, "a bigint, b bigint"
+            rows.repartition("token").sortWithinPartitions("token"), partial(_star_pairs, percent=percent), "a bigint, b bigint"
         ).distinct()
     )
     links = _links(stars, held, percent, scratch)
     found = scratch.written(components(links)).withColumnRenamed("node", "cls")
     labelled = rows.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rest = arrow_map(
-        labelled.repartition("token").sortWithinPartitions("token"), _rest_pairs, "a bigint, b bigint"
+        labelled.repartition("token").sortWithinPartitions("token"), partial(_rest_pairs, percent=percent), "a bigint, b bigint"
     ).distinct()
     # Pairs verified already need no second look.
     rest = scratch.written(rest.join(stars, ["a", "b"], "left_anti"))
