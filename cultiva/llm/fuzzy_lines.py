@@ -321,6 +321,24 @@ def _star_pairs(batches, percent: int) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(cls[ok], cls[pivot[ok]])
 
 
+def _in_first_bucket(a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Whether a near pair is reported by this bucket: by the first of the block keys it shares.
+
+    Near SimHashes share a block key, so buckets of halves leave such pairs to it.
+    """
+    own = np.ones(len(a), dtype=bool)
+    kind = token.view(np.uint64) & _KIND
+    for lo in range(0, len(a), 1 << 16):
+        at = slice(lo, lo + (1 << 16))
+        x, y, by = a[at].view(np.uint64), b[at].view(np.uint64), kind[at]
+        keys = block_keys(x)
+        first = (keys == block_keys(y)).argmax(axis=1)
+        mine = (keys[np.arange(len(keys)), first] & ~_KIND) == token[at].view(np.uint64)
+        near = np.bitwise_count(x ^ y) <= DISTANCE
+        own[at] = np.where(by == _SIMHASH, mine, (by != _HALF) | ~near)
+    return own
+
+
 def _rest_pairs(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Near pairs of a bucket that lie in different components."""
     columns = ("cls", "sim", "component", "token")
@@ -336,17 +354,19 @@ def _rest_pairs(batches, percent: int) -> Iterator[pa.RecordBatch]:
         for step in range(1, min(SMALL_BUCKET, int(sizes.max()))):
             i = np.flatnonzero(small & (left > step))
             ok = (component[i] != component[i + step]) & _near(sim[i], sim[i + step], token[i], percent)
-            a.append(cls[i[ok]])
-            b.append(cls[i[ok] + step])
+            a.append(i[ok])
+            b.append(i[ok] + step)
         for k in np.flatnonzero(sizes > SMALL_BUCKET):
             at = slice(cuts[k], cuts[k + 1])
             names, number, n = np.unique(component[at], return_inverse=True, return_counts=True)
             for i in np.flatnonzero(number != n.argmax()):
                 ok = (number != number[i]) & _near(sim[at], sim[at][i : i + 1], token[at][:1], percent)
-                a.append(cls[at][ok])
-                b.append(np.full(int(ok.sum()), cls[at][i]))
+                a.append(np.flatnonzero(ok) + cuts[k])
+                b.append(np.full(int(ok.sum()), cuts[k] + i))
         if a:
-            yield _pair_batch(np.concatenate(a), np.concatenate(b))
+            a, b = np.concatenate(a), np.concatenate(b)
+            own = _in_first_bucket(sim[a], sim[b], token[a])
+            yield _pair_batch(cls[a[own]], cls[b[own]])
 
 
 def _near_classes(batches, percent: int) -> Iterator[pa.RecordBatch]:

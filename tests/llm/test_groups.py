@@ -147,6 +147,23 @@ def test_block_keys_miss_no_near_hash():
         assert (keys[0] == keys[1]).any()
 
 
+def test_a_near_pair_is_reported_by_one_block_key():
+    rng = random.Random(8)
+    for _ in range(100):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randrange(fuzzy_lines.DISTANCE + 1)):
+            b ^= 1 << bit
+        both = np.array([a, b], dtype=np.uint64)
+        keys = fuzzy_lines.block_keys(both) & ~np.uint64(3)
+        shared = keys[0][keys[0] == keys[1]]
+        n = len(shared)
+        own = fuzzy_lines._in_first_bucket(np.repeat(both[:1], n), np.repeat(both[1:], n), shared.view(np.int64))
+        assert own.sum() == 1
+        half = fuzzy_lines._in_first_bucket(both[:1], both[1:], np.array([1]))
+        assert not half.any() and fuzzy_lines._in_first_bucket(both[:1], ~both[1:], np.array([1])).all()
+
+
 def test_fuzzy_lines_against_all_pairs(samples, edge_rows):
     rng = random.Random(7)
     vocabulary = [f"sand{i}" for i in range(300)]
