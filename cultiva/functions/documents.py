@@ -82,6 +82,17 @@ def list_at(doc: Column, *fields: str) -> Column:
     return as_list(F.try_variant_get(doc, path(*fields), "variant"))
 
 
+def entries_at(doc: Column, schema: str, *fields: str) -> Column:
+    """Scalar-or-list field as an array of structs, read in one pass over its values.
+
+    ``schema`` lists the members (``name type, ...``). Entries that are no objects are
+    NULL, and so is every member that is absent or of another shape.
+    """
+    entry = f"struct<{schema}>"
+    listed = F.try_variant_get(doc, path(*fields), f"array<{entry}>")
+    return F.coalesce(listed, F.array(F.try_variant_get(doc, path(*fields), entry)))
+
+
 def array_mean(numbers: Column) -> Column:
     def mean(xs: Column) -> Column:
         return F.when(
@@ -113,85 +124,78 @@ def _mean_or_median(entries: Column) -> Column:
     )
 
 
-def _lowered(entry: Column, name: str) -> Column:
-    return F.lower(F.coalesce(text(entry, name), F.lit("")))
+def _lowered(text_: Column) -> Column:
+    return F.lower(F.coalesce(text_, F.lit("")))
 
 
-def derive_optimum(entries: Column, key: str) -> Column:
-    """Mean of the explicit optima, else median of the positive growth values."""
+def _positive(entry: Column) -> Column:
+    return _lowered(entry["growth"]).isin(*values.POSITIVE_GROWTH)
 
-    # Two passes: variant fields are read once, then only plain strings are parsed.
-    def read(entry: Column) -> Column:
-        return F.struct(
-            _lowered(entry, "type").alias("kind"),
-            _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH).alias("positive"),
-            text(entry, key).alias("text"),
-        )
+
+def derive_optimum(doc: Column, *fields: str, key: str) -> Column:
+    """Mean of the explicit optima, else median of the positive growth values."""
+    schema = f"`type` string, `growth` string, `{key}` string"
 
     def parse(entry: Column) -> Column:
-        optimum = entry["kind"].contains("optim")
+        kind = _lowered(entry["type"])
+        optimum = kind.contains("optim")
         return F.struct(
-            to_float(entry["text"]).alias("value"),
+            to_float(entry[key]).alias("value"),
             optimum.alias("optimum"),
-            (~optimum & (entry["kind"] == "growth") & entry["positive"]).alias("growth"),
+            (~optimum & (kind == "growth") & _positive(entry)).alias("growth"),
         )
 
-    return _mean_or_median(F.transform(F.transform(entries, read), parse))
+    return _mean_or_median(F.transform(entries_at(doc, schema, *fields), parse))
 
 
-def derive_salt(entries: Column) -> Column:
+def derive_salt(doc: Column, *fields: str) -> Column:
     """Salt optimum in percent: sodium chloride entries with positive growth only."""
-
-    def read(entry: Column) -> Column:
-        return F.struct(
-            F.coalesce(truthy(entry, "salt"), F.lit("NaCl")).alias("salt"),
-            _lowered(entry, "growth").isin(*values.POSITIVE_GROWTH).alias("positive"),
-            _lowered(entry, "tested relation").alias("relation"),
-            F.coalesce(truthy(entry, "concentration"), truthy(entry, "salt concentration")).alias("text"),
-        )
+    schema = (
+        "`salt` variant, `growth` string, `tested relation` string, "
+        "`concentration` variant, `salt concentration` variant"
+    )
 
     def parse(entry: Column) -> Column:
-        counts = entry["positive"] & (entry["salt"] == "NaCl")
-        optimum = entry["relation"].contains("optim")
+        salt = F.coalesce(truthy(entry["salt"]), F.lit("NaCl"))
+        counts = _positive(entry) & (salt == "NaCl")
+        optimum = _lowered(entry["tested relation"]).contains("optim")
+        amount = F.coalesce(truthy(entry["concentration"]), truthy(entry["salt concentration"]))
         return F.struct(
-            to_float(entry["text"]).alias("value"),
+            to_float(amount).alias("value"),
             (counts & optimum).alias("optimum"),
             (counts & ~optimum).alias("growth"),
         )
 
-    return _mean_or_median(F.transform(F.transform(entries, read), parse))
+    return _mean_or_median(F.transform(entries_at(doc, schema, *fields), parse))
 
 
 def _first_present(candidates: Column) -> Column:
     return F.get(F.filter(candidates, lambda x: x.isNotNull()), F.lit(0))
 
 
-def first_value(entries: Column, key: str) -> Column:
+def first_value(doc: Column, *fields: str, key: str) -> Column:
     """First non-empty value of ``key``."""
-    return _first_present(F.transform(entries, lambda e: truthy(e, key)))
+    entries = entries_at(doc, f"`{key}` variant", *fields)
+    return _first_present(F.transform(entries, lambda e: truthy(e[key])))
 
 
 def first_genome_accession(
-    entries: Column,
+    doc: Column,
+    *fields: str,
     keys: Sequence[str] = ("INSDC accession", "NCBI accession", "accession"),
 ) -> Column:
     """First entry that carries any accession; keys are tried in order within it."""
-    return _first_present(
-        F.transform(entries, lambda e: F.coalesce(*[truthy(e, k) for k in keys]))
-    )
+    entries = entries_at(doc, ", ".join(f"`{key}` variant" for key in keys), *fields)
+    return _first_present(F.transform(entries, lambda e: F.coalesce(*[truthy(e[k]) for k in keys])))
 
 
-def first_tax_id(entries: Column, key: str = "NCBI tax id") -> Column:
+def first_tax_id(doc: Column, *fields: str, key: str = "NCBI tax id") -> Column:
     """First taxon id that is a whole number."""
-    return _first_present(
-        F.transform(entries, lambda e: F.try_variant_get(e, path(key), "bigint"))
-    )
+    return _first_present(F.transform(entries_at(doc, f"`{key}` bigint", *fields), lambda e: e[key]))
 
 
 def isolation_categories(entries: Column, level: str) -> Column:
     """Distinct sorted tags of one level joined by ``|``; leading ``#`` removed."""
-    raw = F.filter(
-        F.transform(entries, lambda e: only_text(e, level)), lambda tag: F.length(tag) > 0
-    )
+    raw = F.filter(F.transform(entries, lambda e: only_text(e[level])), lambda tag: F.length(tag) > 0)
     tags = F.transform(raw, lambda tag: F.trim(F.regexp_replace(tag, "^#+", "")))
     return empty_to_null(F.array_join(F.array_sort(F.array_distinct(tags)), "|"))

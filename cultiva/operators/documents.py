@@ -15,32 +15,27 @@ ISOLATION = "Isolation, sampling and environmental information"
 
 
 def extract_phenotypes(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Thirteen-column phenotype table of strain documents."""
+    """Thirteen-column phenotype table of strain documents.
+
+    Every list is read once, into typed structs; what the columns test and parse
+    afterwards are plain strings.
+    """
     d = F.col(doc)
-    sources = D.list_at(d, ISOLATION, "isolation source categories")
-    return docs.select(
+    levels = {f"isolation_cat{level}": f"Cat{level}" for level in (1, 2, 3)}
+    schema = ", ".join(f"`{level}` variant" for level in levels.values())
+    sources = docs.withColumn("_sources", D.entries_at(d, schema, ISOLATION, "isolation source categories"))
+    return sources.select(
         F.try_variant_get(d, D.path("General", "BacDive-ID"), "bigint").alias("bacdive_id"),
         D.text(d, TAXONOMY, "species").alias("species"),
         D.text(d, TAXONOMY, "genus").alias("genus"),
-        F.coalesce(D.truthy(d, TAXONOMY, "LPSN", "family"), D.text(d, TAXONOMY, "family")).alias(
-            "family"
-        ),
-        D.first_tax_id(D.list_at(d, "General", "NCBI tax id")).alias("ncbi_taxon_id"),
-        D.derive_optimum(D.list_at(d, CULTURE, "culture temp"), "temperature").alias(
-            "optimal_temperature_c"
-        ),
-        D.derive_optimum(D.list_at(d, CULTURE, "culture pH"), "pH").alias("optimal_ph"),
-        D.first_value(D.list_at(d, PHYSIOLOGY, "oxygen tolerance"), "oxygen tolerance").alias(
-            "oxygen_requirement"
-        ),
-        D.derive_salt(D.list_at(d, PHYSIOLOGY, "halophily")).alias("salt_tolerance_pct"),
-        D.first_genome_accession(
-            D.list_at(d, "Sequence information", "Genome sequences")
-        ).alias("genome_accession"),
-        *[
-            D.isolation_categories(sources, f"Cat{level}").alias(f"isolation_cat{level}")
-            for level in (1, 2, 3)
-        ],
+        F.coalesce(D.truthy(d, TAXONOMY, "LPSN", "family"), D.text(d, TAXONOMY, "family")).alias("family"),
+        D.first_tax_id(d, "General", "NCBI tax id").alias("ncbi_taxon_id"),
+        D.derive_optimum(d, CULTURE, "culture temp", key="temperature").alias("optimal_temperature_c"),
+        D.derive_optimum(d, CULTURE, "culture pH", key="pH").alias("optimal_ph"),
+        D.first_value(d, PHYSIOLOGY, "oxygen tolerance", key="oxygen tolerance").alias("oxygen_requirement"),
+        D.derive_salt(d, PHYSIOLOGY, "halophily").alias("salt_tolerance_pct"),
+        D.first_genome_accession(d, "Sequence information", "Genome sequences").alias("genome_accession"),
+        *[D.isolation_categories(F.col("_sources"), level).alias(name) for name, level in levels.items()],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,12 +14,16 @@ def parse_documents(texts: DataFrame, text: str = "value", into: str = "doc") ->
     array, it also sees whatever follows. The generator keeps the parse from being
     repeated in pushed-down filters.
     """
-    value = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    value = F.btrim(F.col(text), F.lit(" \t\r\n"))
     closed = ~value.startswith("{") | value.endswith("}")
-    parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    elements = F.when(closed, F.try_variant_get(parsed, "$", "array<variant>"))
-    single = F.flatten(F.filter(F.array(elements), lambda e: F.size(e) == 1))
-    return texts.select("*", F.explode(single).alias(into)).drop(text)
+    parsed = F.when(closed, F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))))
+
+    def element(list_: Column, i: int) -> Column:
+        return F.try_variant_get(list_, f"$[{i}]", "variant")
+
+    single = F.filter(F.array(parsed), lambda p: element(p, 0).isNotNull() & element(p, 1).isNull())
+    found = texts.select("*", F.explode(single).alias(into)).drop(text)
+    return found.withColumn(into, element(F.col(into), 0))
 
 
 def scan_documents(spark: SparkSession, path: str, id_column: str = "bacdive_id") -> DataFrame:
