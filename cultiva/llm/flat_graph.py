@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,8 +20,11 @@ SAMPLE = 20_000
 SHARD_VECTORS = 1500
 MAX_CENTROIDS = 2000
 MARGIN = 0.17
+# A vector is a node in so many shards at most; the others within the margin it visits.
 MAX_SHARDS = 8
 BLOCK_VECTORS = 8000
+ASK_VECTORS = 16_000
+PLACED_ROWS = 8192
 DEGREE = 24
 CANDIDATES = 48
 FAR_EDGES = 4
@@ -84,26 +88,30 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _assign(batches, centroids, margin: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Shards of every vector: those whose centre is nearly as close as the closest."""
+    """Shards of every vector: those whose centre is nearly as close as the closest.
+
+    In the closest ``most`` the vector becomes a node (``base``), the rest it visits.
+    """
     centres = centroids.value
     for batch in batches:
         raw = batch.column("vec").to_pylist()
         if not raw:
             continue
         similar = _matrix(raw) @ centres.T
-        most = min(most, len(centres))
-        top = np.argsort(-similar, axis=1, kind="stable")[:, :most]
+        top = np.argsort(-similar, axis=1, kind="stable")
         value = np.take_along_axis(similar, top, axis=1)
-        near = value >= value[:, :1] - margin
-        owner, place = np.nonzero(near)
-        yield pa.record_batch(
-            {
-                "cls": batch.column("cls").take(pa.array(owner)),
-                "shard": pa.array(top[owner, place], pa.int32()),
-                "home": pa.array(place == 0),
-                "vec": batch.column("vec").take(pa.array(owner)),
-            }
-        )
+        owner, place = np.nonzero(value >= value[:, :1] - margin)
+        for lo in range(0, len(owner), PLACED_ROWS):
+            who, turn = owner[lo : lo + PLACED_ROWS], place[lo : lo + PLACED_ROWS]
+            yield pa.record_batch(
+                {
+                    "cls": batch.column("cls").take(pa.array(who)),
+                    "shard": pa.array(top[who, turn], pa.int32()),
+                    "home": pa.array(turn == 0),
+                    "base": pa.array(turn < most),
+                    "vec": batch.column("vec").take(pa.array(who)),
+                }
+            )
 
 
 def robust_prune(x: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -177,7 +185,7 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def search(
-    x: np.ndarray, edges: np.ndarray, near: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float
+    x: np.ndarray, edges: np.ndarray, near: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, width_of_beam: int = BEAM
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(query, node)`` with a cosine of ``threshold`` or more, by walking the graph.
 
@@ -201,9 +209,9 @@ def search(
         seen = np.zeros((len(q), n + 1), dtype=bool)
         seen[:, n] = True
         seen[row, medoid] = True
-        beam = np.full((len(q), BEAM), n, dtype=np.int64)
-        score = np.full((len(q), BEAM), -9.0)
-        fresh = np.zeros((len(q), BEAM), dtype=bool)
+        beam = np.full((len(q), width_of_beam), n, dtype=np.int64)
+        score = np.full((len(q), width_of_beam), -9.0)
+        fresh = np.zeros((len(q), width_of_beam), dtype=bool)
         beam[:, 0], score[:, 0], fresh[:, 0] = medoid, q @ x[medoid], True
         itself = own[lo : lo + 128]
         mine = itself >= 0
@@ -230,7 +238,7 @@ def search(
             hits_q.append(active[r])
             hits_n.append(others[r, w])
             joined = np.concatenate([score[active], similar], axis=1)
-            top = np.argpartition(-joined, BEAM - 1, axis=1)[:, :BEAM]
+            top = np.argpartition(-joined, width_of_beam - 1, axis=1)[:, :width_of_beam]
             score[active] = np.take_along_axis(joined, top, axis=1)
             beam[active] = np.take_along_axis(np.concatenate([beam[active], others], axis=1), top, axis=1)
             opened = np.concatenate([fresh[active], new], axis=1)
@@ -261,7 +269,7 @@ def search(
     return np.concatenate(out_q), np.concatenate(out_n)
 
 
-def _search(table: pa.Table, threshold: float) -> pa.Table:
+def _search(table: pa.Table, threshold: float, beam: int) -> pa.Table:
     """Linked class pairs of one block: base rows form the graph, query rows walk it."""
     table = table.sort_by("cls")
     base = np.flatnonzero(table.column("base").to_numpy(zero_copy_only=False))
@@ -283,7 +291,7 @@ def _search(table: pa.Table, threshold: float) -> pa.Table:
     edges = np.searchsorted(owner, np.arange(len(base) + 1))
     own = np.searchsorted(nodes, cls[asks])
     own = np.where((own < len(nodes)) & (nodes[np.minimum(own, len(nodes) - 1)] == cls[asks]), own, -1)
-    q, found = search(x[base], edges, place, x[asks], own, threshold)
+    q, found = search(x[base], edges, place, x[asks], own, threshold, beam)
     a, b = cls[asks][q], nodes[found]
     keep = a != b
     pair = np.unique(np.column_stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=0)
@@ -299,14 +307,22 @@ def _audit(batches, queries, threshold: float) -> Iterator[pa.RecordBatch]:
         cls = batch.column("cls").to_numpy()
         i, j = np.nonzero(_matrix(raw) @ x.T >= threshold)
         differ = cls[i] != names[j]
-        a, b = cls[i][differ], names[j][differ]
-        yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        asked, other = names[j][differ], cls[i][differ]
+        yield pa.record_batch(
+            {
+                "asked": pa.array(asked),
+                "a": pa.array(np.minimum(asked, other)),
+                "b": pa.array(np.maximum(asked, other)),
+            }
+        )
 
 
 def audited_recall(classes: DataFrame, pairs: DataFrame, n: int = AUDIT, threshold: float = THRESHOLD) -> float:
-    """Share of true pairs of ``n`` sampled classes that ``pairs`` holds; 1 if there are none.
+    """Share of its true pairs that ``pairs`` holds, averaged over ``n`` sampled classes that have some.
 
-    The sample (smallest hashes, bounded) is held against all vectors by brute force.
+    A class counts once however many pairs it has, so large groups cannot hide small
+    ones; 1 if no class has a pair. The sample (smallest hashes, bounded) is held
+    against all vectors by brute force.
     """
     rows = classes.select("cls", "vec").orderBy(F.xxhash64("cls")).limit(n).collect()
     if not rows:
@@ -314,14 +330,17 @@ def audited_recall(classes: DataFrame, pairs: DataFrame, n: int = AUDIT, thresho
     sample = (np.array([r["cls"] for r in rows]), _matrix([bytes(r["vec"]) for r in rows]))
     queries = classes.sparkSession.sparkContext.broadcast(sample)
     true = arrow_map(
-        classes.select("cls", "vec"), partial(_audit, queries=queries, threshold=threshold), "a bigint, b bigint"
-    ).distinct()
+        classes.select("cls", "vec"),
+        partial(_audit, queries=queries, threshold=threshold),
+        "asked bigint, a bigint, b bigint",
+    )
     found = true.join(pairs.withColumn("_hit", F.lit(1)), ["a", "b"], "left")
-    counted = found.agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits")).first()
-    return counted["hits"] / counted["n"] if counted["n"] else 1.0
+    of_class = found.groupBy("asked").agg((F.count("_hit") / F.count(F.lit(1))).alias("share"))
+    recall = of_class.agg(F.avg("share").alias("recall")).first()["recall"]
+    return 1.0 if recall is None else recall
 
 
-def _linked(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+def _linked(classes: DataFrame, n: int, threshold: float, margin: float, beam: int) -> DataFrame:
     """Unique class pairs ``a < b`` found over the graph of equally long vectors."""
     spark = classes.sparkSession
     drawn = classes.orderBy(F.xxhash64("cls")).limit(SAMPLE).select("vec").collect()
@@ -331,43 +350,73 @@ def _linked(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     placed = written(
         arrow_map(
             classes.select("cls", "vec"),
-            partial(_assign, centroids=centroids, margin=MARGIN, most=MAX_SHARDS),
-            "cls bigint, shard int, home boolean, vec binary",
+            partial(_assign, centroids=centroids, margin=margin, most=MAX_SHARDS),
+            "cls bigint, shard int, home boolean, base boolean, vec binary",
         )
     )
     # One row per shard, at most MAX_CENTROIDS: safe to broadcast.
-    blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(blocks), "shard")
+    blocks = placed.groupBy("shard").agg(
+        F.ceil(F.count_if("base") / BLOCK_VECTORS).cast("int").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("home") | ~F.col("base")) / ASK_VECTORS)).cast("int").alias("parts"),
+    )
+    placed = placed.join(F.broadcast(blocks.filter("blocks > 0")), "shard")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    nodes = placed.withColumn("block", block)
+    part = F.pmod(F.xxhash64("cls", F.lit("part")), F.col("parts")).cast("int")
+    nodes = placed.filter("base").withColumn("block", block)
     lists = nodes.select("shard", "block", "cls", "vec").groupBy("shard", "block").applyInArrow(
         _build, "cls bigint, near binary"
     )
     # Lists of a vector's shards, united; restricted to a block when it is searched.
     united = written(lists.groupBy("cls").agg(F.array_join(F.transform(F.collect_list("near"), F.hex), "").alias("_hex")))
     united = united.select("cls", F.unhex("_hex").alias("near"))
-    graph = nodes.join(united, "cls").select(
-        "shard", "block", "cls", "vec", "near", F.lit(True).alias("base"), F.col("home").alias("asks")
+    # The nodes of a block are there for every part of those that ask.
+    graph = (
+        nodes.join(united, "cls")
+        .withColumn("_own", part)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "shard", "block", "part", "cls", "vec", "near", F.lit(True).alias("base"),
+            (F.col("home") & (F.col("part") == F.col("_own"))).alias("asks"),
+        )
     )
-    # A home shard of several blocks is asked block by block.
+    # Shards visited, and the other blocks of the home shard, are asked block by block.
     visits = (
-        placed.filter("home and blocks > 1")
+        placed.filter("(home and blocks > 1) or not base")
         .withColumn("_own", block)
+        .withColumn("part", part)
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .filter("block <> _own")
+        .filter("not home or block <> _own")
         .select(
-            "shard", "block", "cls", "vec", F.lit(None).cast("binary").alias("near"),
+            "shard", "block", "part", "cls", "vec", F.lit(None).cast("binary").alias("near"),
             F.lit(False).alias("base"), F.lit(True).alias("asks"),
         )
     )
 
     def walked(table: pa.Table) -> pa.Table:
-        return _search(table, threshold)
+        return _search(table, threshold, beam)
 
-    found = graph.unionByName(visits).groupBy("shard", "block").applyInArrow(walked, "a bigint, b bigint")
+    found = graph.unionByName(visits).groupBy("shard", "block", "part").applyInArrow(walked, "a bigint, b bigint")
     return found.distinct()
 
 
+def _widened(classes: DataFrame, n: int, threshold: float, audit: int, size: int) -> DataFrame:
+    """Linked pairs of one length; margin and beam grow until the audit is content.
+
+    Linked unit vectors differ by ``d = sqrt(2 - 2 * threshold)`` at most, so within a
+    margin of ``2 * d`` every one of them visits the home shard of the other.
+    """
+    surest = 2 * math.sqrt(max(0.0, 2 - 2 * threshold))
+    recall = 0.0
+    for margin, beam in ((MARGIN, BEAM), (2 * MARGIN, 2 * BEAM), (surest, 4 * BEAM)):
+        linked = written(_linked(classes, n, threshold, margin, beam))
+        if not audit:
+            return linked
+        recall = audited_recall(classes, linked, audit, threshold)
+        if recall >= LEAST_RECALL:
+            return linked
+    raise RuntimeError(f"recall {recall:.3f} of vectors of length {size} at the widest margin: raise BEAM or DEGREE")
+
+
 def embedding_duplicates(
     vectors: DataFrame,
     key: str = "genome_accession",
@@ -384,15 +433,18 @@ def embedding_duplicates(
     of another length, link with nothing (each length forms a corpus of its own).
 
     Equal vectors are one class with a count. Centres are fitted on a bounded sample
-    of ``SAMPLE`` classes; every class is placed in each shard whose centre is
-    nearly as close as its closest (``MARGIN``, at most ``MAX_SHARDS``), so shards
-    overlap. Each shard gets a flat graph by robust pruning, the adjacency lists of
-    a class are united over its shards, and every class walks its home shard: beam
-    search from the medoid and its own node, then expansion over all nodes in range.
-    A shard of more than ``BLOCK_VECTORS`` members is dealt into blocks which its
-    queries visit one by one, so nothing is capped. Cosines decide; what the search
-    misses is the only loss. The audit holds ``audit`` sampled classes against all
-    vectors and raises when the recall is below ``LEAST_RECALL``.
+    of ``SAMPLE`` classes; every class reaches each shard whose centre is nearly as
+    close as its closest (``MARGIN``): in the closest ``MAX_SHARDS`` it is a node, so
+    shards overlap, all others it visits with its question. Each shard gets a flat
+    graph by robust pruning, the adjacency lists of a class are united over its
+    shards, and every class walks its home shard and those it visits: beam search
+    from the medoid and its own node, then expansion over all nodes in range. A shard
+    of more than ``BLOCK_VECTORS`` nodes is dealt into blocks that are asked one by
+    one, those who ask into parts of about ``ASK_VECTORS``. Cosines decide; what the
+    search misses is the only loss. The audit holds ``audit`` sampled classes against
+    all vectors; when their mean recall is below ``LEAST_RECALL`` the search is
+    repeated with a wider margin and beam, up to the margin within which no shard of
+    a linked vector is missed, and only then it raises.
 
     A null key is a row of its own: it has links, but no component's id can be null
     unless all its keys are. Repeated rows link with each other.
@@ -415,12 +467,7 @@ def embedding_duplicates(
     pairs = spark.createDataFrame([], "a bigint, b bigint")
     for size, n in sorted(sizes.items()):
         some = classes.filter(F.col("size") == size)
-        linked = written(_linked(some, n, threshold))
-        if audit:
-            recall = audited_recall(some, linked, audit, threshold)
-            if recall < LEAST_RECALL:
-                raise RuntimeError(f"recall {recall:.3f} of vectors of length {size}: raise MARGIN or BEAM")
-        pairs = pairs.unionByName(linked)
+        pairs = pairs.unionByName(_widened(some, n, threshold, audit, size))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = classes.select("cls", "n")
     others = (

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cultiva.llm import fuzzy_lines, jaccard
+from cultiva.llm import flat_graph
 from cultiva.llm.flat_graph import audited_recall, embedding_duplicates
 from cultiva.llm.substrings import remove_repeated_windows
 from cultiva.llm.tables import components
@@ -279,6 +280,49 @@ def test_embedding_duplicates_against_all_pairs(spark):
     assert audited_recall(one, pairs) == 0.0
 
 
+def test_embeddings_of_a_hot_region_with_many_centres(spark, monkeypatch):
+    """More centres within the margin than shards of a vector, several blocks and parts."""
+    for name, value in {"MAX_SHARDS": 2, "SHARD_VECTORS": 6, "BLOCK_VECTORS": 20, "ASK_VECTORS": 30}.items():
+        monkeypatch.setattr(flat_graph, name, value)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=24)
+    first = centre + 0.45 * rng.normal(size=(150, 24))
+    x = np.concatenate([first, first + 0.16 * rng.normal(size=first.shape)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    degree = near.sum(axis=1) - 1
+    rows = [(f"g{i:03}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "genome_accession string, embedding array<double>")
+    out = {r[0]: r[1] for r in embedding_duplicates(df).select("genome_accession", "n_links").collect()}
+    share = [out[f"g{i:03}"] / d for i, d in enumerate(degree) if d]
+    assert len(share) > 100 and max(share) <= 1 and np.mean(share) >= 0.97
+
+
+def test_audit_counts_every_class_once(spark):
+    """One lost pair of a small group weighs as much as a large group found whole."""
+    x = np.eye(4)
+    rows = [(i, x[0].tobytes()) for i in range(8)] + [(i, x[1].tobytes()) for i in (8, 9)]
+    pairs = [(a, b) for a in range(8) for b in range(a + 1, 8)]
+    recall = audited_recall(
+        spark.createDataFrame(rows, "cls bigint, vec binary"), spark.createDataFrame(pairs, "a bigint, b bigint")
+    )
+    assert recall == pytest.approx(0.8)
+
+
+def test_low_recall_widens_before_it_raises(spark, monkeypatch):
+    margins = []
+
+    def linked(classes, n, threshold, margin, beam):
+        margins.append(round(margin, 4))
+        return classes.selectExpr("cls as a", "cls as b").limit(0)
+
+    monkeypatch.setattr(flat_graph, "_linked", linked)
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.01])], "genome_accession string, embedding array<double>")
+    with pytest.raises(RuntimeError, match="widest margin"):
+        embedding_duplicates(df)
+    assert margins == [0.17, 0.34, 0.6325]
+
+
 @pytest.mark.parametrize("n", [3, 5, 8, 20, 50])
 def test_recall_of_lines_with_one_other_word(samples, n):
     """Held against edit similarity alone: whatever finds the candidates is not used."""
